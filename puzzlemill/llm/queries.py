@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, substrings
+from . import mixing, neardup, substrings
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", F.when(F.col("size") > 0, F.col("copies")).alias("copies"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.drop_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -23,6 +27,7 @@ def op9_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_drop_repeats": op9_drop_repeats,
 }
 ORACLE_SQL: dict[str, str] = {}
