@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, substrings
+from . import logbilinear, mixing, neardup, substrings
 from .common import read
 
 
@@ -25,9 +25,14 @@ def op9_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logbilinear.score_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_drop_repeats": op9_drop_repeats,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
