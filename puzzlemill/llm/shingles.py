@@ -27,9 +27,9 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, from, to) of each word; words never cross texts."""
-    inside = ~_IS_SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, from, to) of each word; words never cross texts.  ``apart``: bytes between words."""
+    inside = ~apart[data]
     if not inside.any():
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -46,15 +46,18 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(at, first, "right") - 1, first, np.flatnonzero(ends) + 1
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each word, A-Z folded."""
-    text, first, last = word_spans(data, at)
-    if not len(text):
-        return text, np.zeros(0, np.uint64)
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, A-Z folded; a stretch costs the same at any length."""
     up, down = _powers(max(2 * CHUNK, len(data)) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return text, _mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    return _mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each word, A-Z folded."""
+    text, first, last = word_spans(data, at)
+    return text, span_hashes(data, first, last) if len(text) else np.zeros(0, np.uint64)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

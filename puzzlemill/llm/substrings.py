@@ -123,26 +123,36 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(min_bytes: int, gram: int):
+    """(key, kh, ch, s0, n, w): w is how many anchors of the batch are alike, at the first of them, else 0."""
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        keys = batch.column(0).to_numpy()
+        data, at = _buffers(batch.column(1))
+        i = 0
+        while i < len(keys):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+            # a text longer than a chunk goes in pieces that overlap by a window
+            for lo in range(int(at[i]), max(int(at[j]), int(at[i]) + 1), CHUNK if j == i + 1 else 1 << 62):
+                hi = int(at[j]) if j > i + 1 else min(int(at[j]), lo + CHUNK + min_bytes - 1)
+                starts = np.array([lo]) if j == i + 1 else at[i:j]
+                ends = np.array([hi]) if j == i + 1 else at[i + 1 : j + 1]
+                text, first, count, kh, ch = find_anchors(data[lo:hi], starts - lo, ends - lo, min_bytes, gram)
+                text += i
+                yield keys[text], kh.view(np.int64), ch.view(np.int64), (first + lo - at[text]).astype(np.int32), count.astype(np.int32)
+            i = j
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            data, at = _buffers(batch.column(1))
-            i = 0
-            while i < len(keys):
-                j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-                # a text longer than a chunk goes in pieces that overlap by a window
-                for lo in range(int(at[i]), max(int(at[j]), int(at[i]) + 1), CHUNK if j == i + 1 else 1 << 62):
-                    hi = int(at[j]) if j > i + 1 else min(int(at[j]), lo + CHUNK + min_bytes - 1)
-                    starts = np.array([lo]) if j == i + 1 else at[i:j]
-                    ends = np.array([hi]) if j == i + 1 else at[i + 1 : j + 1]
-                    text, first, count, kh, ch = find_anchors(data[lo:hi], starts - lo, ends - lo, min_bytes, gram)
-                    if len(text):
-                        text += i
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys[text]), pa.array(kh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array((first + lo - at[text]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                            names=["key", "kh", "ch", "s0", "n"],
-                        )
-                i = j
+            if not batch.num_rows:
+                continue
+            key, kh, ch, s0, n = (np.concatenate(x) for x in zip(*found(batch), strict=True))
+            order = np.lexsort((ch, kh))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (kh[order][1:] != kh[order][:-1]) | (ch[order][1:] != ch[order][:-1])
+            at = np.flatnonzero(lead)
+            w = np.zeros(len(order), np.int32)
+            w[order[at]] = np.diff(np.append(at, len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, kh, ch, s0, n, w)], names=["key", "kh", "ch", "s0", "n", "w"])
 
     return rows
 
@@ -326,11 +336,15 @@ def _cut(min_bytes: int):
 
 
 def _weigh(anchors: DataFrame) -> DataFrame:
-    """Distinct spans of the minimizers that occur twice, with their weights and one place each."""
-    spans = anchors.groupBy("kh", "ch").agg(F.count("*").alias("w"), F.min(F.struct("key", "s0", "n")).alias("at"))
+    """Distinct spans of the minimizers that occur twice, with their weights and one place each.
+
+    Anchors come summed by batch, so copies hardly add rows to a minimizer.
+    """
     group = W.partitionBy("kh")
-    spans = spans.withColumn("total", F.sum("w").over(group)).withColumn("kinds", F.count("*").over(group))
-    return spans.where("total > 1").select("kh", "ch", "w", "at.key", "at.s0", "at.n", "kinds")
+    twice = anchors.where("w > 0").withColumn("total", F.sum("w").over(group)).where("total > 1")
+    spans = twice.groupBy("kh", "ch").agg(F.sum("w").alias("w"), F.min(F.struct("key", "s0", "n")).alias("at"))
+    spans = spans.withColumn("kinds", F.count("*").over(group))
+    return spans.select("kh", "ch", "w", "at.key", "at.s0", "at.n", "kinds")
 
 
 def _single_windows(min_bytes: int):
@@ -361,7 +375,8 @@ def repeated_windows(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, wi
 
     Takes (key, doc_id, text); rows with equal keys must have equal texts.
     """
-    anchors = checkpoint(docs.select("key", "text").mapInArrow(_anchor_rows(min_bytes, gram), "key bigint, kh bigint, ch bigint, s0 int, n int"))
+    # found twice rather than kept: they are quickly found and many
+    anchors = docs.select("key", "text").mapInArrow(_anchor_rows(min_bytes, gram), "key bigint, kh bigint, ch bigint, s0 int, n int, w int")
     spans = checkpoint(_weigh(anchors))
     wanted = F.collect_list(F.struct("kh", "ch", "s0", "n", "w")).alias("want")
     texts = spans.where(F.col("kinds").between(2, wide)).groupBy("key").agg(wanted)
