@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import logbilinear, mixing, neardup, spotsigs, substrings, toxicity
+from . import chat, licenses, logbilinear, mixing, neardup, spotsigs, substrings, toxicity
 from .common import read
 
 
@@ -24,6 +24,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", F.when(F.col("size") > 0, F.col("copies")).alias("copies"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.neighbour_preferences(read(spark, sf_dir, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",")
+    return out.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -41,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
+    "op4_licenses": op4_licenses,
+    "op7_preferences": op7_preferences,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_drop_repeats": op9_drop_repeats,
     "op10_lm_scores": op10_lm_scores,
