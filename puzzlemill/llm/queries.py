@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, logbilinear, mixing, neardup, spotsigs, substrings, toxicity
+from . import chat, decontam, licenses, logbilinear, mixing, neardup, spotsigs, substrings, toxicity
 from .common import read
 
 
@@ -28,6 +28,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "items", "n_spans", F.array_min("spans.edits").alias("least_edits"))
+
+
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.neighbour_preferences(read(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",")
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_licenses": op4_licenses,
+    "op6_decontaminate": op6_decontaminate,
     "op7_preferences": op7_preferences,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_drop_repeats": op9_drop_repeats,
