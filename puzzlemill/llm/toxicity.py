@@ -29,6 +29,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -131,24 +132,43 @@ def _evidence(a: Column, b: Column, na: float, nb: float) -> Column:
     return F.when((a >= LEAST) & (pa_ > 2 * pb), ratio).otherwise(0.0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 50_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted, largest, mean), a row for each row of ``docs``."""
+@dataclass
+class Model:
+    """Two dictionaries and the calibration; without dictionaries, the share of toxic labels."""
+
+    toxic: list[int]
+    ordinary: list[int]
+    weights: np.ndarray
+    share: float
+
+    def scores(self, largest: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        if not len(self.weights):
+            return np.full(len(largest), self.share)
+        return 1 / (1 + np.exp(-np.clip(_shape(largest, mean) @ self.weights, -30, 30)))
+
+
+def _prepared(docs: DataFrame, folds: int) -> DataFrame:
     d = pick(docs, doc_id="bigint", text="string")
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    d = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc % folds == 0).alias("held_out"), (F.floor(crc / folds) % 2).cast("int").alias("half"))
+    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc % folds == 0).alias("held_out"), (F.floor(crc / folds) % 2).cast("int").alias("half"))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 50_000) -> Model:
+    """Learn from the labelled rows that are not held out."""
+    d = _prepared(docs, folds)
     y = pick(labels, doc_id="bigint", toxic="int").where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     y = checkpoint(y)
     y = F.broadcast(y) if y.count() <= SMALL else y
     learn = d.where(~F.col("held_out")).join(y, F.col("doc_id") == F.col("label_id"))
 
-    counts = learn.select((F.col("toxic") * 2 + F.col("half")).alias("kind"), "text").mapInArrow(_frequencies, "symbol bigint, kind bigint, n bigint")
+    counts = learn.select((F.col("toxic") * 2 + F.col("half")).cast("bigint").alias("kind"), "text").mapInArrow(_frequencies, "symbol bigint, kind bigint, n bigint")
     counts = counts.groupBy("symbol").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(4)])
     counts = checkpoint(counts.where(f"symbol = 0 or k0 + k1 >= {LEAST} or k2 + k3 >= {LEAST}"))
     total = counts.where("symbol = 0").first()
     ordinary, toxic = ((total.k0 + total.k1, total.k2 + total.k3) if total else (0, 0))
+    share = (toxic + 0.5) / (toxic + ordinary + 1)
     if not ordinary or not toxic:
-        share = (toxic + 0.5) / (toxic + ordinary + 1)
-        return d.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), F.lit(0.0).alias("largest"), F.lit(0.0).alias("mean"))
+        return Model([], [], np.zeros(0), share)
 
     def dictionary(a: str, b: str, na: float, nb: float) -> list[int]:
         e = _evidence(F.expr(a), F.expr(b), na, nb)
@@ -163,10 +183,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate
     seen = learn.select(row, "text", F.when(F.col("half") == 0, 2).otherwise(1).alias("which")).mapInArrow(_measured(pairs), "row struct<doc_id:bigint,toxic:int>, largest double, mean double")
     seen = seen.orderBy(F.xxhash64("row.doc_id"), "row.doc_id").limit(calibrate).select("row.toxic", "largest", "mean").toPandas()
     w = fit_logistic(_shape(seen["largest"].to_numpy(), seen["mean"].to_numpy()), seen["toxic"].to_numpy(float))
+    return Model(*pairs[0], w, share)
+
+
+def _judged(model: Model):
+    """(row, score, largest, mean) of each text."""
 
-    row = F.struct("doc_id", "held_out").alias("row")
-    out = d.select(row, "text", F.lit(0).alias("which")).mapInArrow(_measured(pairs[:1]), "row struct<doc_id:bigint,held_out:boolean>, largest double, mean double")
-    largest = F.greatest(F.lit(0.0), F.least(F.lit(24.0), "largest"))
-    z = F.lit(float(w[0])) + F.lit(float(w[1])) * largest / 8 + F.lit(float(w[2])) * F.log1p(F.least(F.lit(24.0), F.col("mean"))) + F.lit(float(w[3])) * (F.col("largest") > 0).cast("double")
-    score = 1 / (1 + F.exp(-z))
-    return out.select("row.doc_id", "row.held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "largest", "mean")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = (_compressor(model.toxic), _compressor(model.ordinary))
+        for batch in batches:
+            for i, j, data, at in pieces(batch.column(1)):
+                symbols, edge = respell(data, at)
+                d = np.array([distances(symbols[edge[k] : edge[k + 1]], *how) for k in range(j - i)]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.scores(d[:, 0], d[:, 1])), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["row", "score", "largest", "mean"])
+
+    return rows
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 50_000) -> DataFrame:
+    """(doc_id, held_out, score, predicted, largest, mean), a row for each row of ``docs``."""
+    model = train(docs, labels, folds, calibrate)
+    d = _prepared(docs, folds).select(F.struct("doc_id", "held_out").alias("row"), "text")
+    out = d.mapInArrow(_judged(model), "row struct<doc_id:bigint,held_out:boolean>, score double, largest double, mean double")
+    return out.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "largest", "mean")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 50_000) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic."""
+    model = train(docs, labels, folds, calibrate)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = d.mapInArrow(_judged(model), f"row {d.schema['row'].dataType.simpleString()}, score double, largest double, mean double")
+    return out.where("score < 0.5").select("row.*")
