@@ -116,7 +116,7 @@ def with_next(rows: DataFrame, bits: int = 8) -> DataFrame:
 def next_range(ranges: DataFrame, bits: int) -> DataFrame:
     """(range, next_range) for distinct ranges, the last followed by the first."""
     ends = ranges.agg(F.min("range").alias("low"), F.max("range").alias("high")).first()
-    if ends.low is None or ends.low >> bits == ends.high >> bits:
+    if ends.low is None or ends.high - ends.low < 1 << bits:
         nxt = F.lead("range").over(W.orderBy("range"))  # 2**bits rows at most
         return ranges.select("range", F.coalesce(nxt, F.lit(ends.low)).alias("next_range"))
     ranges = checkpoint(ranges.withColumn("group", F.shiftright("range", bits)))
