@@ -155,7 +155,8 @@ def length_penalty(tokens: Column, cap: int, start: int, most: float) -> Column:
     if most >= 0 or start >= cap:
         return F.lit(0.0)
     share = (tokens - start) / F.lit(float(cap - start))
-    return F.coalesce(F.lit(most) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.0))
+    # least and greatest skip nulls, so a missing count is asked for by itself
+    return F.when(tokens.isNull() | (tokens <= start), 0.0).otherwise(F.lit(most) * F.least(F.lit(1.0), share))
 
 
 def checkpoint_number(name: Column) -> Column:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.checks import require_none
 
@@ -22,7 +23,7 @@ def numbered(df: DataFrame, position: str = "source_index", first: int = 1) -> D
 
     Positions need one pass to count partitions; use a stored column where there is one.
     """
-    schema = df.schema.add(position, "bigint", False)
+    schema = T.StructType([*df.schema.fields, T.StructField(position, T.LongType(), False)])
     return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first)), schema)
 
 
