@@ -69,4 +69,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_drop_repeats": op9_drop_repeats,
     "op10_lm_scores": op10_lm_scores,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Preference pairs in SQL.  The other operators learn, draw by hashes that SQL
+#: engines do not share, or search beyond SQL; tests hold them against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op7_preferences": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(i) AS n, max(CASE WHEN role = 'assistant' THEN i END) AS last FROM t GROUP BY conv_id),
+r AS (SELECT t.conv_id, t.txt FROM t JOIN l ON t.conv_id = l.conv_id AND t.i = l.last),
+p AS (SELECT l.conv_id, l.n, l.last, other.txt AS reply, CASE WHEN l.last IS NULL THEN l.n WHEN other.txt = own.txt THEN l.last ELSE l.last - 1 END AS prompt_turns
+  FROM l LEFT JOIN r own ON own.conv_id = l.conv_id LEFT JOIN r other ON other.conv_id = xor(l.conv_id, 1)),
+s AS (SELECT t.conv_id, t.i, t.role, p.prompt_turns, '<|im_start|>' || replace(replace(t.role, '<|im_', '<| im_'), chr(13), '') || chr(10) || replace(replace(t.txt, '<|im_', '<| im_'), chr(13), '') || '<|im_end|>' || chr(10) AS shown FROM t JOIN p ON t.conv_id = p.conv_id),
+o AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id, i > prompt_turns ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+a AS (SELECT conv_id, coalesce(string_agg(CASE WHEN i <= prompt_turns THEN shown END, '' ORDER BY i), '') AS prompt, coalesce(string_agg(CASE WHEN i > prompt_turns THEN shown END, '' ORDER BY i), '') AS chosen,
+  coalesce(string_agg(CASE WHEN i > prompt_turns AND role = 'assistant' THEN CAST(CAST(start + 22 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(shown) - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY i), '') AS chosen_spans FROM o GROUP BY conv_id),
+j AS (SELECT conv_id, prompt_turns, CASE WHEN last IS NULL OR reply IS NULL OR prompt_turns = last THEN '' ELSE '<|im_start|>assistant' || chr(10) || replace(replace(reply, '<|im_', '<| im_'), chr(13), '') || '<|im_end|>' || chr(10) END AS rejected FROM p)
+SELECT a.conv_id, j.prompt_turns, a.prompt, a.chosen, j.rejected, a.chosen_spans, CASE WHEN j.rejected = '' THEN '' ELSE '22-' || CAST(length(j.rejected) - 1 AS VARCHAR) END AS rejected_spans FROM a JOIN j ON a.conv_id = j.conv_id
+""",
+}
