@@ -117,6 +117,8 @@ OTHERS = (
     ("proprietary", "proprietary", r"proprietary\s+(?:and\s+confidential|licen[sc]e|software)", 2),
     ("copyright", "copyright", r"copyright\s+(?:\(c\)|©)?\s*\d{4}(?:\s*[-,]\s*\d{4})*", 1),
 )
+#: Any match of a rule holds one of these; texts and lines without one go no further.
+TRIGGERS = ("licen", "spdx", "under", *(k for k in dict.fromkeys(x[1] for x in OTHERS) if "licen" not in k and k != "cc"), "cc-by", "cc by")
 #: How sure a detection of each priority is.
 SURE = (0.0, 0.4, 0.7, 0.9, 1.0)
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
@@ -130,6 +132,13 @@ def rules() -> list[tuple[int, str, str, str, int]]:
     return [(i, *x) for i, x in enumerate(dict.fromkeys([*OTHERS, *made]))]
 
 
+def triggered(text: Column) -> Column:
+    out = F.lit(False)
+    for t in TRIGGERS:
+        out = out | F.contains(text, F.lit(t))
+    return out
+
+
 def detections(lines: DataFrame) -> DataFrame:
     """(key, line_no, label, priority, from, to) of what no other detection suppresses.
 
@@ -178,9 +187,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     base = F.when(gated, let(words, lambda w: F.when(F.size(w) == 0, none).otherwise(places(w)))).otherwise(none)
     rows = d.select("doc_id", "key", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("bigint").alias("n_words"), base.alias("base"))
 
-    any_word = "|".join(sorted({r[2].split()[0].replace(".", r"\.") for r in rules()}))
-    lines = d.where(F.rlike(F.lower("text"), F.lit(any_word))).select("key", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    seen = detections(lines.where(F.rlike("line", F.lit(any_word))).distinct())
+    low = d.select("key", F.lower("text").alias("low")).where(triggered(F.col("low")))
+    lines = low.select("key", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line"))
+    seen = detections(lines.where(triggered(F.col("line"))).distinct())
     seen = seen.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("priority").alias("priority"), F.count("*").alias("n_detections"))
     sure = F.get(F.array(*[F.lit(x) for x in SURE]), F.greatest(F.coalesce("priority", F.lit(0)), F.when(F.size("base") > 0, 2).otherwise(0)))
     out = rows.join(seen, "key", "left")

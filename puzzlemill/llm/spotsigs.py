@@ -21,6 +21,8 @@ tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,8 +94,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) != (F.size(b) == 0), F.lit(0.0)).otherwise(value)
 
 
-def with_next(rows: DataFrame, bits: int = 8) -> DataFrame:
-    """``rows`` (doc_id, text, ...) with the following row as struct ``next``, in order of doc_id and text.
+def with_next(rows: DataFrame, bits: int = 8, enrich: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``rows`` (doc_id, text), enriched, with the following row as struct ``next``, in order of doc_id and text.
 
     The last row is followed by the first.  Rows are dealt by ranges of 2**bits
     ids, so a row's neighbour is mostly in its range; only the first row of each
@@ -101,15 +103,16 @@ def with_next(rows: DataFrame, bits: int = 8) -> DataFrame:
     same step over the ranges, and so on until few are left.
     """
     rows = rows.where("doc_id is not null").withColumn("range", F.shiftright("doc_id", bits))
-    whole = [c for c in rows.columns if c != "range"]
+    rich = enrich(rows)
+    whole = [c for c in rich.columns if c != "range"]
     heads = checkpoint(rows.groupBy("range").agg(F.min("doc_id").alias("head_id")))
     order = next_range(heads.select("range"), bits)
     wanted = order.join(heads.withColumnRenamed("range", "next_range"), "next_range").select("range", F.col("head_id").alias("doc_id"))
     wanted = checkpoint(wanted)
     found = rows.drop("range").join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "doc_id")
-    found = found.groupBy("range").agg(F.min(F.struct(*whole)).alias("head"))
+    found = enrich(found).groupBy("range").agg(F.min(F.struct(*whole)).alias("head"))
     inside = F.lead(F.struct(*whole)).over(W.partitionBy("range").orderBy("doc_id", "text"))
-    dealt = rows.withColumn("inside", inside).join(found, "range", "left")
+    dealt = rich.withColumn("inside", inside).join(found, "range", "left")
     return dealt.select(*whole, F.coalesce("inside", "head").alias("next"))
 
 
@@ -143,9 +146,9 @@ def edited_likeness(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain:
     near_next, n_signatures).
     """
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("sigs", signatures(F.col("text"), anchors, chain))
-    alone = d.where("doc_id is null").withColumn("next", F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit("").alias("text"), F.array().cast("array<int>").alias("sigs")))
-    rows = with_next(d).unionByName(alone)
+    enrich = lambda df: df.withColumn("sigs", signatures(F.col("text"), anchors, chain))
+    alone = enrich(d.where("doc_id is null")).withColumn("next", F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit("").alias("text"), F.array().cast("array<int>").alias("sigs")))
+    rows = with_next(d, enrich=enrich).unionByName(alone)
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - tail), F.substring("next.text", F.lit(1), tail))

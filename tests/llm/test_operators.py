@@ -83,8 +83,8 @@ def test_spotsigs_pairs(docs, pairs):
         if i is not None and i != 44 and plain_signatures(t):
             sets[frozenset(plain_signatures(t))].append(i)
     ids = [(min(v), s) for s, v in sets.items()]
-    want = {(min(i, j), max(i, j)) for i, a in ids for j, b in ids if i < j and jaccard(a, b) >= 0.8}
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in spotsigs.similar_pairs(docs.where("doc_id <> 44 or doc_id is null")).collect()}
+    want = {(min(i, j), max(i, j)) for i, a in ids for j, b in ids if i < j and jaccard(a, b) >= 0.3}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in spotsigs.similar_pairs(docs.where("doc_id <> 44 or doc_id is null"), 0.3).collect()}
     assert got == want and want
 
 
@@ -218,7 +218,7 @@ def test_license_rules_suppress_what_lies_within(spark):
 
 
 def plain_tokens(line, width=5, least=3):
-    w = line.encode().lower().split()
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x]
     if len(w) < least:
         return None
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)])
