@@ -18,8 +18,9 @@ starts elsewhere in the corpus.  The corpus is never sorted as one text:
 4. The repeated starts return to every anchor of their span, and each document
    drops the union of the windows that start there.
 
-A minimizer with more than ``wide`` distinct spans is dealt anew, one window
-start at a time; these windows collapse by equality, so no block is unbounded.
+A minimizer with more than ``wide`` distinct spans goes no further as a block:
+its distinct spans are cut into single windows, which meet by equality, so that
+no block is unbounded.
 
 Defined results: null text is empty; texts below ``min_bytes`` keep all bytes;
 repeated rows are occurrences of their own (both are removed); a null doc_id is
@@ -43,7 +44,7 @@ from .common import checkpoint, pick
 GRAM = 32
 CHUNK = 1 << 20
 BLOCK = 3 << 20
-WIDE = 20_000
+WIDE = 40_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xD6E8FEB86659FD93)
 _POS = np.uint64((1 << 24) - 1)
@@ -347,24 +348,6 @@ def _weigh(anchors: DataFrame) -> DataFrame:
     return spans.select("kh", "ch", "w", "at.key", "at.s0", "at.n", "kinds")
 
 
-def _single_windows(min_bytes: int):
-    """The windows of wide minimizers, each an anchor of one start."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = _buffers(batch.column(0))
-            for i, (key, want) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                out = []
-                for x in want:
-                    for s in range(x["s0"], x["s0"] + x["n"]):
-                        sha = hashlib.blake2b(data[at[i] + s : at[i] + s + min_bytes], digest_size=16).digest()
-                        out.append((key, int.from_bytes(sha[:8], "big", signed=True), int.from_bytes(sha[8:], "big", signed=True), s, 1))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=["key", "kh", "ch", "s0", "n"])
-
-    return rows
-
-
 def _alone(spans: DataFrame) -> DataFrame:
     """Spans that are the only kind of their minimizer: every start repeats."""
     return spans.where("kinds = 1").select("kh", "ch", F.array(F.array(F.lit(0), F.col("n"))).alias("runs"))
@@ -379,19 +362,23 @@ def repeated_windows(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, wi
     anchors = docs.select("key", "text").mapInArrow(_anchor_rows(min_bytes, gram), "key bigint, kh bigint, ch bigint, s0 int, n int, w int")
     spans = checkpoint(_weigh(anchors))
     wanted = F.collect_list(F.struct("kh", "ch", "s0", "n", "w")).alias("want")
-    texts = spans.where(F.col("kinds").between(2, wide)).groupBy("key").agg(wanted)
-    # doc_id rides along so that this exchange of the texts equals the one of the final join
-    texts = docs.join(texts, "key").select("text", "doc_id", "want").mapInArrow(_spans(min_bytes), "kh bigint, ch bigint, n int, w bigint, span binary")
+
+    def with_text(some: DataFrame) -> DataFrame:
+        # doc_id rides along so that this exchange of the texts equals the one of the final join
+        rows = docs.join(some.groupBy("key").agg(wanted), "key").select("text", "doc_id", "want")
+        return rows.mapInArrow(_spans(min_bytes), "kh bigint, ch bigint, n int, w bigint, span binary")
+
+    texts = with_text(spans.where(F.col("kinds").between(2, wide)))
     found = texts.repartition("kh").sortWithinPartitions("kh").mapInArrow(_expand(min_bytes), "kh bigint, ch bigint, runs array<array<int>>")
-    out = anchors.join(found.unionByName(_alone(spans)), ["kh", "ch"]).select("key", "s0", "runs")
-    hot = spans.where(F.col("kinds") > wide).select("kh").distinct()
+    found = found.unionByName(_alone(spans))
+    hot = spans.where(F.col("kinds") > wide)
     if not hot.isEmpty():
-        lists = anchors.join(hot, "kh").groupBy("key").agg(F.collect_set(F.struct("s0", "n")).alias("want"))
-        single = docs.join(lists, "key").select("text", "key", "want").mapInArrow(_single_windows(min_bytes), "key bigint, kh bigint, ch bigint, s0 int, n int")
-        single = checkpoint(single)
-        again = single.groupBy("kh", "ch").agg(F.count("*").alias("w")).where("w > 1")
-        out = out.unionByName(single.join(again, ["kh", "ch"]).select("key", "s0", F.expr("array(array(0, 1))").alias("runs")))
-    return out
+        each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.md5(F.substring("span", i + 1, F.lit(min_bytes))))
+        single = with_text(hot).dropDuplicates(["kh", "ch"]).select("kh", "ch", "w", F.posexplode(each).alias("i", "window"))
+        twice = single.groupBy("kh", "window").agg(F.sum("w").alias("total")).where("total > 1").select("kh", "window")
+        runs = F.collect_list(F.array(F.col("i"), F.col("i") + 1)).alias("runs")
+        found = found.unionByName(single.join(twice, ["kh", "window"]).groupBy("kh", "ch").agg(runs))
+    return anchors.join(found, ["kh", "ch"]).select("key", "s0", "runs")
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
