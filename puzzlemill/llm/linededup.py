@@ -1,6 +1,6 @@
 """Line de-duplication by an exact set-similarity join.
 
-A line's tokens are its word shingles (``width`` words, A-Z folded; the whole
+A line's tokens are its word shingles (``width`` words, in lower case; the whole
 sequence of a shorter line).  A line is removed if an earlier line, by doc_id
 and line number, has a set with 100 * common >= percent * all; whether that one
 is removed too does not matter.  Lines below ``min_words`` words say too little
@@ -30,40 +30,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, ascii_lower, checkpoint, let, words
+from .common import checkpoint, let, words
 
 WIDTH = 5
 #: Tokens are counted in so many buckets; of the fullest ones, HOT, the magnitude is known.
-BUCKETS, HOT = 1 << 20, 1024
+BUCKETS, HOT = 1 << 16, 256
 #: Ids up to this number may be broadcast; more are joined by a shuffle.
 SMALL = 200_000
 
 
-def line_tokens(line: Column, width: int) -> Column:
-    """The distinct shingles of a line as an array of hashes."""
+def line_tokens(line: Column, width: int, min_words: int) -> Column:
+    """The distinct shingles of a line as an array of hashes; none below ``min_words`` words."""
 
-    def of_hashes(h: Column) -> Column:
-        n = F.size(h)
-        each = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))
-        return F.when(n >= width, F.array_distinct(each)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    def shingles(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
+        none = F.array().cast("array<bigint>")
+        return F.when(n < min_words, none).when(n >= width, F.array_distinct(each)).otherwise(F.array(F.xxhash64(w)))
 
-    return let(F.transform(words(ascii_lower(line)), lambda w: F.xxhash64(w)), of_hashes)
+    return let(words(F.lower(line)), shingles)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """(key, at, line): ``at`` orders lines by document and number."""
     d = docs.select("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    d = d.select("key", F.struct("doc", "key", "no").alias("at"), F.btrim("line", F.lit(" \t\x0b\x0c\r")).alias("line"))
-    return d.where((F.length("line") > 0) & (F.regexp_count("line", F.lit(SPACE_RUN)) >= min_words - 1))
+    return d.select("key", F.struct("doc", "key", "no").alias("at"), "line").where(F.length("line") > 0)
 
 
 def _bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
 
-def frequent_buckets(lines: DataFrame, width: int) -> dict[int, list[int]]:
-    """The fullest buckets of tokens over all lines, by the magnitude of their counts: HOT at most."""
-    counts = lines.select(F.explode(line_tokens(F.col("line"), width)).alias("t")).groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("c"))
+def frequent_buckets(lines: DataFrame, width: int, min_words: int) -> dict[int, list[int]]:
+    """The fullest buckets of tokens, by the magnitude of their counts: HOT at most.
+
+    Lines are counted whole first, which needs no tokens; those that stand
+    alone add one to each of their tokens and cannot make one frequent, so only
+    the repeated ones are cut, each distinct one once, with its number.
+    """
+    # in line order, so that one spelling of a line is cut for all its copies
+    keyed = lines.select(F.xxhash64("line").alias("h"), "key", "at", "line")
+    repeated = keyed.groupBy("h").agg(F.count("*").alias("c"), F.min("at").alias("at")).where("c > 1")
+    repeated = checkpoint(repeated.select(F.col("at").alias("at_"), "c"))
+    few = repeated.count() <= SMALL
+    one = lines.join(F.broadcast(repeated) if few else repeated, F.col("at") == F.col("at_"))
+    counts = one.select(F.explode(line_tokens(F.col("line"), width, min_words)).alias("t"), "c").groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.sum("c").alias("c"))
     full = counts.where("c > 1").orderBy(F.desc("c"), "bucket").limit(HOT).collect()
     by_size: dict[int, list[int]] = {}
     for r in full:
@@ -74,13 +85,16 @@ def frequent_buckets(lines: DataFrame, width: int) -> dict[int, list[int]]:
 def _ordered(tokens: Column, frequent: dict[int, list[int]]) -> Column:
     """Tokens by rarity: the magnitude of a frequent one's count stands in the first byte, then the hash."""
 
+    every = [b for buckets in frequent.values() for b in buckets]
+
     def rank(t: Column) -> Column:
         out = F.lit(0)
         for size, buckets in frequent.items():
             out = F.when(_bucket(t).isin(buckets), size).otherwise(out)
-        return out.cast("bigint")
+        # one look for the many tokens that are not frequent
+        return F.when(_bucket(t).isin(every), out).otherwise(0).cast("bigint") if every else F.lit(0).cast("bigint")
 
-    return F.array_sort(F.transform(tokens, lambda t: F.shiftleft(rank(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(rank(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
 
 def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -90,18 +104,24 @@ def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
 
 def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_words: int = 3) -> DataFrame:
     """(key, no) of the lines to remove.  Takes (key, doc_id, text)."""
-    lines = _lines(docs, min_words)
-    frequent = frequent_buckets(lines, width)
-    sets = lines.select("key", "at", _ordered(line_tokens(F.col("line"), width), frequent).alias("tokens"))
+    lines = _lines(docs)
+    frequent = frequent_buckets(lines, width, min_words)
+    tokens = line_tokens(F.col("line"), width, min_words)
+    sets = lines.select("key", "at", _ordered(tokens, frequent).alias("tokens"))
     n = F.size("tokens")
     short = n - F.ceil(n * percent / 100).cast("int") + 1
-    places = checkpoint(sets.select("key", "at", F.xxhash64("tokens").alias("sid"), n.alias("n"), F.slice("tokens", F.lit(1), short).alias("prefix")))
-    classes = places.groupBy("sid").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = classes.select("sid", "first", "n", F.posexplode("prefix").alias("i", "token"))
+    places = checkpoint(sets.select("key", "at", F.xxhash64("tokens").alias("sid"), n.alias("n"), F.slice("tokens", F.lit(1), F.greatest(short, F.lit(0))).alias("prefix")))
+    places = places.where("n > 0")  # not before: a filter would make the tokens twice
+    classes = places.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = classes.select("sid", "n", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("token", "sid", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("i")).alias("ni"))
     # a token that no other class has in its prefix leads nowhere
     token = W.partitionBy("token")
-    rows = rows.withColumn("many", F.count("*").over(token)).where("many > 1")
-    rows = checkpoint(rows.select("token", "sid", "first", "n", "i"))
+    rows = checkpoint(rows.withColumn("many", F.count("*").over(token)).where("many > 1").select("token", "sid", "ni"))
+    firsts = places.groupBy("sid").agg(F.min("at").alias("first"))
+    likely = checkpoint(rows.select("sid").distinct().join(firsts, "sid"))
+    rows = rows.join(likely, "sid").select("token", "sid", "first", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
+    rows = checkpoint(rows)
 
     def viable(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}n"), F.col(f"{b}n")
@@ -114,18 +134,16 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_w
     same = lambda h: F.struct(h["first"].alias("first"), h["sid"].alias("sid"), h["n"].alias("n"), h["i"].alias("i"))
     stars = rows.withColumn("early", early).withColumn("front", front).withColumn("hub", F.explode(F.array(same(F.col("early")), same(F.col("front")))))
     stars = stars.select("sid", "first", "n", "i", F.col("hub.sid").alias("b_sid"), F.col("hub.first").alias("b_first"), F.col("hub.n").alias("b_n"), F.col("hub.i").alias("b_i"))
-    stars = stars.where("b_first < first").where(viable("", "b_")).select("sid", "b_sid").distinct()
+    stars = checkpoint(stars.where("b_first < first").where(viable("", "b_")).select("sid", "b_sid").distinct())
 
-    first_of = classes.select("sid", "first")
-    likely = rows.select("sid", "first").distinct()
-    likely = checkpoint(likely)
     # whole sets of the classes that may match, made again from their first lines
     spots = likely.select("sid", F.col("first.key").alias("spot_key"), F.col("first.no").alias("spot_no"))
     few = likely.count() <= SMALL
     near = docs.join(F.broadcast(spots.select("spot_key").distinct()) if few else spots.select("spot_key").distinct(), F.col("key") == F.col("spot_key"), "left_semi")
-    near = _lines(near, min_words).select("key", F.col("at.no").alias("no"), "line").distinct()
+    near = _lines(near).select("key", F.col("at.no").alias("no"), "line")
     near = near.join(F.broadcast(spots) if few else spots, (F.col("key") == F.col("spot_key")) & (F.col("no") == F.col("spot_no")))
-    whole = checkpoint(near.select("sid", line_tokens(F.col("line"), width).alias("tokens")))
+    whole = near.select("sid", line_tokens(F.col("line"), width, min_words).alias("tokens"))
+    whole = checkpoint(whole.dropDuplicates(["sid"]))  # repeated rows bring a set again
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The classes ``sid`` of pairs (sid, b_sid) that reach the similarity."""
@@ -134,15 +152,13 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_w
         common = F.size(F.array_intersect("tokens", "b_tokens"))
         return both.where(_reaches(common, F.size("tokens"), F.size("b_tokens"), percent)).select("sid").distinct()
 
-    stars = checkpoint(stars)
     decided = checkpoint(verified(stars))
     asking = rows.join(decided, "sid", "left_anti")
     other = rows.select("token", F.col("sid").alias("b_sid"), F.col("first").alias("b_first"), F.col("n").alias("b_n"), F.col("i").alias("b_i"))
     rest = asking.join(other, "token").where("b_first < first").where(viable("", "b_")).select("sid", "b_sid").distinct()
     more = verified(rest.join(stars, ["sid", "b_sid"], "left_anti"))
     gone = decided.unionByName(more).select("sid", F.lit(True).alias("gone"))
-    kept = first_of.join(gone, "sid", "left")
-    out = places.select("key", "at", "sid").join(kept, "sid").where("gone or at <> first")
+    out = places.select("key", "at", "sid").join(firsts.join(gone, "sid", "left"), "sid").where("gone or at <> first")
     return out.select("key", F.col("at.no").alias("no"))
 
 
