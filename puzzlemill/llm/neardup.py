@@ -10,8 +10,10 @@ close to their Jaccard similarity.
 * Classes that agree in all registers of a band share a bucket.  Pairs of a
   bucket are not listed: every class meets its bucket's hub, the member whose
   buckets are fullest.  Verified links join classes into components, and only
-  buckets that still hold several components go on, with further hubs; what
-  is then left is small and is compared pair by pair.
+  buckets that still hold several components go on.  There, members outside the
+  bucket's largest component are held against all its members, in blocks of
+  bounded size, by longer sketches, and every partner that is likely is
+  verified.
 * A candidate's similarity is first estimated jointly from both documents'
   registers by maximum likelihood; only an estimate far below the threshold
   drops it.  All others are verified on the full sets.
@@ -28,7 +30,7 @@ keeps them all); empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,21 +44,23 @@ from .substrings import _mix
 
 BANDS, ROWS = 24, 4
 BASE = 1.001
-#: An estimate this far below the threshold (over six standard errors) drops a pair.
-SLACK = 0.3
+#: An estimate this far below the threshold (over five standard errors) drops a pair.
+SLACK = 0.22
+#: Registers of the longer sketches, their slack (over five standard errors), members of a block.
+LONG, LONG_SLACK, MEMBERS = 320, 0.12, 1000
 #: Ids up to this number may be broadcast; more are joined by a shuffle.
 SMALL = 200_000
 _RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_MUL = _RNG.integers(1, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_XOR = _RNG.integers(0, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32)
 
 
-def registers(items: np.ndarray, size: np.ndarray) -> np.ndarray:
+def registers(items: np.ndarray, size: np.ndarray, many: int = BANDS * ROWS) -> np.ndarray:
     """One row of registers for each non-empty set; ``size`` gives the offsets."""
     offsets = size[:-1][np.diff(size) > 0]
-    low = np.empty((len(_MUL), len(offsets)), np.uint32)
+    low = np.empty((many, len(offsets)), np.uint32)
     half = (items >> np.uint64(32)).astype(np.uint32)
-    for i, (mul, xor) in enumerate(zip(_MUL, _XOR, strict=True)):
+    for i, (mul, xor) in enumerate(zip(_MUL[:many], _XOR[:many], strict=True)):
         v = (half ^ xor) * mul
         v ^= v >> np.uint32(16)
         v *= np.uint32(0x7FEB352D)
@@ -150,6 +154,44 @@ def _likely(percent: int):
     return rows
 
 
+def _lengthened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            size = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            regs = registers(np.concatenate(sets), size, LONG)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in regs], pa.binary()), pa.array(np.diff(size))], names=["node", "regs", "n"])
+
+
+def _partners(percent: int):
+    """Likely partners (a, b) of the block's outsiders."""
+
+    def block(table: pa.Table) -> pa.Table:
+        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        outside, query = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "query"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), ">u2").reshape(len(node), -1).astype(np.uint16)
+        bands = regs[:, : BANDS * ROWS].copy().view(np.uint64)  # four registers a band
+        members = np.flatnonzero(~query)
+        here = int(table.column("place")[0].as_py()) if len(node) else 0
+        a, b = [], []
+        for x in np.flatnonzero(query):
+            y = members[label[members] != label[x]]
+            # two outsiders meet once; and a pair only in the first band that it shares
+            y = y[~outside[y] | (node[y] > node[x])]
+            y = y[(100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
+            y = y[~(bands[y, :here] == bands[x, :here]).any(1)]
+            if not len(y):
+                continue
+            like = estimate(np.broadcast_to(regs[x].astype(np.int32), (len(y), regs.shape[1])), regs[y].astype(np.int32), np.full(len(y), float(n[x])), n[y].astype(float))
+            good = np.flatnonzero(like >= percent / 100 - LONG_SLACK)
+            a.append(np.full(len(good), node[x]))
+            b.append(node[y[good]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return block
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for undirected edges (a, b): the smallest node that each one reaches.
 
@@ -174,9 +216,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Labels (node, label) of the classes that are linked; None if there are none."""
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
     bucket = W.partitionBy("band")
-    rows = classes.select("node", band.alias("band")).withColumn("full", F.count("*").over(bucket)).where("full > 1")
+    rows = classes.select("node", band.alias("place", "band")).withColumn("full", F.count("*").over(bucket)).where("full > 1")
     rows = checkpoint(rows)
     if rows.isEmpty():
         return None
@@ -186,49 +228,61 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     one = docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "twin").select("node", "text")
     sets = checkpoint(one.mapInArrow(_sets(width), "node bigint, items binary").dropDuplicates(["node"]))
     central = rows.groupBy("node").agg(F.sum("full").alias("pull"))
-    rows = checkpoint(rows.select("node", "band").join(central, "node"))
+    rows = checkpoint(rows.select("node", "place", "band").join(central, "node"))
     regs = classes.select("node", "regs", "n")
 
+    def exact(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
+        right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
+        return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(percent), "a bigint, b bigint, ok boolean"))
+
     def check(pairs: DataFrame) -> DataFrame:
         left = regs.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
         right = regs.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
         size = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
         near = pairs.join(left, "a").join(right, "b").where(size).select("a", "b", "ra", "rb", "na", "nb")
-        near = near.mapInArrow(_likely(percent), "a bigint, b bigint")
-        left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
-        right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-        return checkpoint(near.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(percent), "a bigint, b bigint, ok boolean"))
+        return exact(near.mapInArrow(_likely(percent), "a bigint, b bigint"))
+
+    tried, labels = None, None
 
-    tried, links, labels = None, None, None
-    for _ in range(4):
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several components, with their labels."""
         if labels is None:
-            rows = rows.withColumn("label", F.col("node"))
-        else:
-            rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = F.min("label").over(bucket) != F.max("label").over(bucket)
-            rows = checkpoint(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
+            return rows.withColumn("label", F.col("node"))
+        rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = F.min("label").over(bucket) != F.max("label").over(bucket)
+        return checkpoint(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
+
+    def verify(pairs: DataFrame, look: Callable[[DataFrame], DataFrame]) -> bool:
+        """Look at pairs that are new; did any join?"""
+        nonlocal tried, labels
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        done = look(pairs)
+        tried = done if tried is None else checkpoint(tried.unionByName(done))
+        joined = not done.where("ok").isEmpty()
+        if joined:
+            labels = components(tried.where("ok"))
+        return joined
+
+    for _ in range(2):
+        rows = labelled(rows)
         hub = F.max(F.struct("pull", "node", "label")).over(bucket)
         star = rows.select("node", "label", hub.alias("hub")).where("label <> hub.label")
         star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        if tried is not None:
-            star = star.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = check(star)
-        tried = done if tried is None else checkpoint(tried.unionByName(done))
-        if done.isEmpty():
+        if not verify(star, check):
             break
-        if done.where("ok").isEmpty():
-            break
-        links = tried.where("ok")
-        labels = components(links)
-    # the exact rest: pairs of classes in one bucket whose components still differ
-    if labels is not None:
-        rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = rows.select("band", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = rows.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "band").where("a < b and la <> lb").select("a", "b").distinct()
-    done = check(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    if not done.where("ok").isEmpty():
-        labels = components(tried.unionByName(done).where("ok"))
+    rows = labelled(rows)
+    if not rows.isEmpty():
+        long = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(_lengthened, "node bigint, regs binary, n bigint")
+        of_label = rows.groupBy("band", "label").agg(F.count("*").alias("many"))
+        main = of_label.groupBy("band").agg(F.max(F.struct("many", "label")).alias("main"), F.sum("many").alias("all"))
+        dealt = rows.select("place", "band", "node", "label").join(main, "band").withColumn("outside", F.col("label") != F.col("main.label"))
+        blocks = F.ceil(F.col("all") / MEMBERS).cast("int")
+        own = dealt.select("place", "band", "node", "label", "outside", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(False).alias("query"))
+        asks = dealt.where("outside").select("place", "band", "node", "label", "outside", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("query"))
+        both = own.unionByName(asks).join(long, "node")
+        verify(both.groupBy("band", "block").applyInArrow(_partners(percent), "a bigint, b bigint").distinct(), exact)
     return labels
 
 
