@@ -3,8 +3,7 @@
 A line's tokens are its word shingles (``width`` words, in lower case; the whole
 sequence of a shorter line).  A line is removed if an earlier line, by doc_id
 and line number, has a set with 100 * common >= percent * all; whether that one
-is removed too does not matter.  Lines below ``min_words`` words say too little
-and stay, as blank ones do.
+is removed too does not matter.  Blank lines stay.
 
 * Lines with equal sets are one class, whose first line stays in question.
 * Tokens are ordered by rarity: those of the fullest buckets of a count over all
@@ -39,14 +38,14 @@ BUCKETS, HOT = 1 << 16, 256
 SMALL = 200_000
 
 
-def line_tokens(line: Column, width: int, min_words: int) -> Column:
-    """The distinct shingles of a line as an array of hashes; none below ``min_words`` words."""
+def line_tokens(line: Column, width: int) -> Column:
+    """The distinct shingles of a line as an array of hashes; none for a blank line."""
 
     def shingles(w: Column) -> Column:
         n = F.size(w)
         each = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
         none = F.array().cast("array<bigint>")
-        return F.when(n < min_words, none).when(n >= width, F.array_distinct(each)).otherwise(F.array(F.xxhash64(w)))
+        return F.when(n == 0, none).when(n >= width, F.array_distinct(each)).otherwise(F.array(F.xxhash64(w)))
 
     return let(words(F.lower(line)), shingles)
 
@@ -61,7 +60,7 @@ def _bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
 
-def frequent_buckets(lines: DataFrame, width: int, min_words: int) -> dict[int, list[int]]:
+def frequent_buckets(lines: DataFrame, width: int) -> dict[int, list[int]]:
     """The fullest buckets of tokens, by the magnitude of their counts: HOT at most.
 
     Lines are counted whole first, which needs no tokens; those that stand
@@ -74,7 +73,7 @@ def frequent_buckets(lines: DataFrame, width: int, min_words: int) -> dict[int,
     repeated = checkpoint(repeated.select(F.col("at").alias("at_"), "c"))
     few = repeated.count() <= SMALL
     one = lines.join(F.broadcast(repeated) if few else repeated, F.col("at") == F.col("at_"))
-    counts = one.select(F.explode(line_tokens(F.col("line"), width, min_words)).alias("t"), "c").groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.sum("c").alias("c"))
+    counts = one.select(F.explode(line_tokens(F.col("line"), width)).alias("t"), "c").groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.sum("c").alias("c"))
     full = counts.where("c > 1").orderBy(F.desc("c"), "bucket").limit(HOT).collect()
     by_size: dict[int, list[int]] = {}
     for r in full:
@@ -102,11 +101,11 @@ def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
     return common * (100 + percent) >= (na + nb) * percent
 
 
-def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_words: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
     """(key, no) of the lines to remove.  Takes (key, doc_id, text)."""
     lines = _lines(docs)
-    frequent = frequent_buckets(lines, width, min_words)
-    tokens = line_tokens(F.col("line"), width, min_words)
+    frequent = frequent_buckets(lines, width)
+    tokens = line_tokens(F.col("line"), width)
     sets = lines.select("key", "at", _ordered(tokens, frequent).alias("tokens"))
     n = F.size("tokens")
     short = n - F.ceil(n * percent / 100).cast("int") + 1
@@ -142,7 +141,7 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_w
     near = docs.join(F.broadcast(spots.select("spot_key").distinct()) if few else spots.select("spot_key").distinct(), F.col("key") == F.col("spot_key"), "left_semi")
     near = _lines(near).select("key", F.col("at.no").alias("no"), "line")
     near = near.join(F.broadcast(spots) if few else spots, (F.col("key") == F.col("spot_key")) & (F.col("no") == F.col("spot_no")))
-    whole = near.select("sid", line_tokens(F.col("line"), width, min_words).alias("tokens"))
+    whole = near.select("sid", line_tokens(F.col("line"), width).alias("tokens"))
     whole = checkpoint(whole.dropDuplicates(["sid"]))  # repeated rows bring a set again
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -162,11 +161,11 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_w
     return out.select("key", F.col("at.no").alias("no"))
 
 
-def drop_repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, min_words: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
     """``docs`` with the text that remains, and (n_lines, n_removed); its other columns as they are."""
     d = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
     plain = d.select("key", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = repeated_lines(plain, width, percent, min_words).groupBy(F.col("key").alias("gone_key")).agg(F.collect_set("no").alias("gone"))
+    gone = repeated_lines(plain, width, percent).groupBy(F.col("key").alias("gone_key")).agg(F.collect_set("no").alias("gone"))
     out = d.join(gone, F.col("key") == F.col("gone_key"), "left")
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     left = let(lines, lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains("gone", i)), "\n"))

@@ -257,6 +257,22 @@ def test_line_dedup_near_lines(spark):
     assert {r.doc_id for r in rows if r.n_removed} == want
 
 
+def test_line_dedup_short_lines(spark):
+    texts = ["les.\nand ornd.\n\nfresh words", "Les.\n \nand  ornd.\nonce", "and\nornd.\n\nles. les.\nand ornd. les.", "les.\nand ornd.\none two three four", "ONE two three four\nonce"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in linededup.drop_repeated_lines(df).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in t.split("\n"):
+            words = tuple(x.lower().split())
+            if not words or words not in seen:
+                kept.append(x)
+            seen.add(words)
+        want[i] = "\n".join(kept)
+    assert left == want
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 
