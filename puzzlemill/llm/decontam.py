@@ -7,6 +7,13 @@ q-grams, so a stretch within e edits shares at least m - q + 1 - q * e of them,
 and they lie on at most e + 1 neighbouring diagonals (place in the text less
 place in the item).
 
+So does a long part of an item: of an item of more than ``REGION`` bytes, all
+stretches of that length that begin at multiples of ``STEP``, and the last one,
+are sought in the same way, with a bound and a budget of their own.  Any run of
+REGION + STEP - 1 bytes of an item that a text still holds contains one of them.
+Regions add nothing within a whole item that is found; elsewhere those of an
+item that overlap in a text are one span, with the edits of the best one.
+
 Shared q-grams are found by hash in one pass over a text and counted by item in
 diagonal bands that overlap by half; only bands that reach the bound go on, and
 these are verified by banded alignment.  The edit budget of short items is
@@ -38,6 +45,8 @@ from .substrings import _mix, _powers
 GRAM = 10
 RATE = 0.06
 BLOCK = 4 << 20
+#: Length of the parts of an item that count as leaks, and how far apart they begin.
+REGION, STEP = 64, 16
 _BITS = 22
 
 
@@ -63,10 +72,15 @@ def gram_hashes(text: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of a block and where their q-grams stand."""
+    """Items of a block and where their q-grams stand.
+
+    The whole items come first, then the regions of each; postings name the items.
+    """
 
     ids: list[int]
     texts: list[bytes]
+    wholes: int
+    regions: np.ndarray  # first region of each item, and the end
     edits: np.ndarray  # budget of each item
     least: np.ndarray  # q-grams that a match shares at least
     grams: np.ndarray  # sorted
@@ -84,11 +98,20 @@ def build_index(items: list[tuple[int, str]], q: int = GRAM, rate: float = RATE)
         if folded:
             ids.append(i)
             texts.append(folded)
+    wholes = len(texts)
+    regions = [wholes]
+    for k in range(wholes):
+        last = len(texts[k]) - REGION
+        if last > 0:
+            starts = [*range(0, last, STEP), last]
+            ids += [ids[k]] * len(starts)
+            texts += [texts[k][a : a + REGION] for a in starts]
+        regions.append(len(texts))
     size = np.array([len(t) for t in texts], np.int64)
     edits = np.minimum(np.floor(rate * size), np.maximum(0, (size - q) // q)).astype(np.int64)
     least = size - q + 1 - q * edits
     g, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, t in enumerate(texts):
+    for k, t in enumerate(texts[:wholes]):
         h = gram_hashes(np.frombuffer(t, np.uint8), q)
         g.append(h)
         item.append(np.full(len(h), k))
@@ -98,7 +121,7 @@ def build_index(items: list[tuple[int, str]], q: int = GRAM, rate: float = RATE)
     grams, begin = np.unique(g[order], return_index=True)
     gate = np.zeros(1 << _BITS, bool)
     gate[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Index(ids, texts, edits, least, grams, np.append(begin, len(g)), item[order], at[order], gate, q)
+    return Index(ids, texts, wholes, np.array(regions, np.int64), edits, least, grams, np.append(begin, len(g)), item[order], at[order], gate, q)
 
 
 def banded_distance(item: np.ndarray, text: np.ndarray, diagonals: int, budget: int) -> tuple[int, int, int] | None:
@@ -137,8 +160,25 @@ def banded_distance(item: np.ndarray, text: np.ndarray, diagonals: int, budget:
     return (int(cost[k]), int(start[k]), int(to)) if cost[k] <= budget and 0 <= start[k] <= to <= len(text) else None
 
 
+def _with_regions(item: np.ndarray, at: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posting, entry, place in it) of q-grams at ``at`` of ``item``: for the item itself and each region around them."""
+    last = np.array([len(t) for t in index.texts[: index.wholes]], np.int64)[item] - REGION
+    low = np.maximum(0, -((REGION - index.q - at) // STEP))
+    # regions at multiples of the step begin before the last one
+    high = np.minimum(at // STEP, (last - 1) // STEP)
+    many = np.where(last > 0, np.maximum(0, high - low + 1), 0)
+    post = np.repeat(np.arange(len(item)), many)
+    nth = low[post] + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    ends = np.flatnonzero((last > 0) & (at >= last))
+    entry = [item, index.regions[item[post]] + nth, index.regions[item[ends] + 1] - 1]
+    return np.concatenate([np.arange(len(item)), post, ends]), np.concatenate(entry), np.concatenate([at, at[post] - nth * STEP, at[ends] - last[ends]])
+
+
 def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item_id, from, to, edits) for texts in ``data``: bytes of each text, one row for each band that verifies."""
+    """(text, item_id, from, to, edits) for texts in ``data``: bytes of each text, one row for each band that verifies.
+
+    Regions of an item that overlap are one row.
+    """
     text, place = normal(data)
     edge = np.searchsorted(place, at)
     out: list[tuple[int, int, int, int, int]] = []
@@ -147,7 +187,7 @@ def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int
         out.append((k, index.ids[item], int(place[a] - at[k]), int(place[b - 1] + 1 - at[k]), edits))
 
     raw = None
-    for i, t in enumerate(index.texts):
+    for i, t in enumerate(index.texts[: index.wholes]):
         if len(t) < index.q:
             raw = raw if raw is not None else text.tobytes()
             a = raw.find(t)
@@ -168,9 +208,10 @@ def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int
     hit, slot, of = hit[inside], slot[inside], of[inside]
     many = index.begin[slot + 1] - index.begin[slot]
     post = np.repeat(index.begin[slot] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    item, diagonal, of = index.item[post], np.repeat(hit, many) - index.at[post], np.repeat(of, many)
-    if not len(item):
+    if not len(post):
         return out
+    posting, item, place_in = _with_regions(index.item[post], index.at[post], index)
+    diagonal, of = np.repeat(hit, many)[posting] - place_in, np.repeat(of, many)[posting]
     step = index.edits[item] + 1
     band = diagonal // step
     # a band is two steps wide; a q-gram counts for its own step and the one before
@@ -180,18 +221,43 @@ def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int
     lead = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
     count = np.diff(np.append(lead, key.shape[1]))
     good = lead[count >= index.least[key[1, lead]]]
-    for k, i, b in key[:, good].T:
+    held: dict[tuple[int, int], list[tuple[int, int]]] = {}  # where whole items stand
+    parts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+
+    def found_at(k: int, i: int, a: int, b: int, edits: int) -> None:
+        if i < index.wholes:
+            held.setdefault((k, index.ids[i]), []).append((a, b))
+            add(k, i, a, b, edits)
+        else:
+            parts.setdefault((k, i), []).append((a, b, edits))
+
+    for k, i, b in key[:, good].T:  # of a text, whole items come first
         budget, m = int(index.edits[i]), len(index.texts[i])
         a = int(b * (budget + 1))
         lo, hi = max(int(edge[k]), a), min(int(edge[k + 1]), a + 2 * (budget + 1) + m + budget)
+        if i >= index.wholes and any(min(t, hi) - max(f, lo) >= m // 2 for f, t in held.get((k, index.ids[i]), ())):
+            continue
         spot = text[lo:hi].tobytes().find(index.texts[i])
         if spot >= 0:
-            add(k, i, lo + spot, lo + spot + m, 0)
+            found_at(k, i, lo + spot, lo + spot + m, 0)
             continue
         shift = max(0, lo - a)
         found = banded_distance(np.frombuffer(index.texts[i], np.uint8), text[lo:hi], max(1, 2 * (budget + 1) - shift), budget)
         if found:
-            add(k, i, lo + found[1], lo + max(found[2], found[1] + 1), found[0])
+            found_at(k, i, lo + found[1], lo + max(found[2], found[1] + 1), found[0])
+    joined: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for (k, i), spans in parts.items():
+        joined.setdefault((k, int(np.searchsorted(index.regions, i, "right")) - 1), []).extend((a, b, edits, i) for a, b, edits in spans)
+    for (k, i), spans in joined.items():
+        spans.sort()
+        a, b, edits, _ = spans[0]
+        for f, t, e, _ in spans[1:]:
+            if f >= b:
+                add(k, i, a, b, edits)
+                a, b, edits = f, t, e
+            else:
+                b, edits = max(b, t), min(edits, e)
+        add(k, i, a, b, edits)
     return out
 
 

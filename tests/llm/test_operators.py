@@ -323,6 +323,31 @@ def test_decontamination_edges(spark, docs, pairs, empty):
     assert not any(r.contaminated for r in decontam.contamination(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_finds_long_parts(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    first, middle, last = line(18), line(9), line(18)
+    item = f"{first}\n{middle}\n{last}"
+    part = item[30 : 30 + decontam.REGION + decontam.STEP - 1]
+    edited = part[:10] + "z" + part[11:]
+    texts = [f"{line(9)}\n{middle}", f"{line(9)}\n{item}", line(40), f"{line(9)} {part} {line(9)}", f"{line(9)} {edited.upper()}", f"{line(9)} {part[:30]} {line(9)}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontam.contamination(docs, bench).collect()}
+    assert [list(rows[i]["items"]) for i in range(6)] == [[], [7], [], [7], [7], []]
+    assert [rows[i].n_spans for i in range(6)] == [0, 1, 0, 1, 1, 0] and rows[1].spans[0].edits == rows[3].spans[0].edits == 0
+    span = rows[3].spans[0]
+    assert len(set(range(span["from"], span["to"])) & set(range(54, 54 + len(part)))) >= decontam.REGION
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    cut = corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).persist()
+    assert middle not in next(r.text for r in cut.collect() if r.doc_id == 1)  # the earlier document has this line
+    assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, cut, str(tmp_path)).collect()} == {0, 2, 5}
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 
