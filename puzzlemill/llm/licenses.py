@@ -1,11 +1,13 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression for one wording of one license, with the keyword
-that any match must contain, and a priority.  Lines are gated by keywords
-first: only a line that holds a rule's keyword is searched by that rule.  Of
-detections that overlap, one that lies within another of at least its priority
-is suppressed, so "MIT License" inside "licensed under the MIT License" counts
-once, for the more specific rule.
+A rule is a regular expression for one wording of one license, with keywords of
+which any match contains one, a word of the wording that it contains besides,
+and a priority.  Texts are searched whole, with runs of white space as one
+space, so a wording may go over lines; they are gated first: only a text that
+holds a rule's keyword and word is searched by that rule.  Of detections that
+overlap, one that lies within another of at least its priority is suppressed,
+so "MIT License" inside "licensed under the MIT License" counts once, for the
+more specific rule.
 
 Besides the rules, three base phrases are sought as consecutive words, also
 across lines: ``mit license``, ``apache license``, ``general public license``.
@@ -27,12 +29,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are folded.
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: label: (keyword, what the license is called, its SPDX identifiers)
+#: label: (keywords, apart by |, of what the license is called; what it is called; its SPDX identifiers)
 NAMES = {
-    "mit": ("mit", r"(?:mit|expat)", r"mit(?:-0|-cmu|-feh)?"),
+    "mit": ("mit|expat", r"(?:mit|expat)", r"mit(?:-0|-cmu|-feh)?"),
     "apache": ("apache", r"apache(?:\s+software)?", r"apache-(?:1\.[01]|2\.0)"),
     "agpl": ("affero", r"(?:gnu\s+)?affero\s+general\s+public", r"agpl-[13]\.0(?:-only|-or-later)?"),
-    "lgpl": ("lesser", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public", r"lgpl-(?:2\.[01]|3\.0)(?:-only|-or-later)?"),
+    "lgpl": ("lesser|library general public", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public", r"lgpl-(?:2\.[01]|3\.0)(?:-only|-or-later)?"),
     "gpl": ("general public", r"(?:gnu\s+)?general\s+public", r"gpl-[123]\.0(?:-only|-or-later)?"),
     "bsd": ("bsd", r"(?:(?:new|modified|simplified|revised|original|[234]-clause)\s+)?bsd", r"bsd-[0-4]-clause(?:-\w+)?|0bsd"),
     "mpl": ("mozilla", r"mozilla\s+public", r"mpl-(?:1\.[01]|2\.0)"),
@@ -45,9 +47,9 @@ NAMES = {
     "zlib": ("zlib", r"zlib(?:/libpng)?", r"zlib(?:-acknowledgement)?"),
     "boost": ("boost", r"boost\s+software", r"bsl-1\.0"),
     "unlicense": ("unlicense", r"unlicense", r"unlicense"),
-    "wtfpl": ("wtfpl", r"wtfpl|do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public", r"wtfpl"),
+    "wtfpl": ("wtfpl|do what the fuck", r"wtfpl|do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public", r"wtfpl"),
     "artistic": ("artistic", r"artistic", r"artistic-(?:1\.0|2\.0)(?:-\w+)?"),
-    "python": ("python", r"python\s+software\s+foundation|psf", r"(?:psf|python)-2\.0"),
+    "python": ("python|psf", r"python\s+software\s+foundation|psf", r"(?:psf|python)-2\.0"),
     "php": ("php", r"php", r"php-3\.0[01]?"),
     "ruby": ("ruby", r"ruby", r"ruby"),
     "postgresql": ("postgresql", r"postgresql", r"postgresql"),
@@ -78,13 +80,13 @@ NAMES = {
     "openrail": ("rail", r"(?:\w+\s+)?open\s*rail(?:-[ms]+)?", r"(?:\w+-)?openrail(?:-m|\+\+-m)?"),
     "llama": ("llama", r"llama\s*\d?(?:\.\d)?\s+community", r"llama\d?(?:\.\d)?"),
 }
-#: Wordings around a name {n}, or an identifier {s}, or a label {l}; and their priorities.
+#: Wordings around a name {n}, or an identifier {s}, or a label {l}; their priorities; a word of theirs.
 FORMS = (
-    (r"spdx-license-identifier:\s*(?:{s})\b", 4),
-    (r"(?:dual-?\s*)?(?:licensed|released|distributed|published|available|provided|redistributed)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+|an?\s+)?(?:{n})(?:\s+licen[sc]e)?", 3),
-    (r"(?:{n})\s+licen[sc]e(?:,?\s+v(?:ersion|er\.?|\.)?\s*\d+(?:\.\d+)*)?", 2),
-    (r"licen[sc]e\s*[:=]\s*[\"'(]?(?:{n}|{s})\b", 3),
-    (r"\b(?:{n})[- ]licen[sc]ed\b", 2),
+    (r"spdx-license-identifier:\s*(?:{s})\b", 4, "spdx"),
+    (r"(?:dual-?\s*)?(?:licensed|released|distributed|published|available|provided|redistributed)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+|an?\s+)?(?:{n})(?:\s+licen[sc]e)?", 3, "under"),
+    (r"(?:{n})\s+licen[sc]e(?:,?\s+v(?:ersion|er\.?|\.)?\s*\d+(?:\.\d+)*)?", 2, "licen"),
+    (r"licen[sc]e\s*[:=]\s*[\"'(]?(?:{n}|{s})\b", 3, "licen"),
+    (r"\b(?:{n})[- ]licen[sc]ed\b", 2, "licen"),
 )
 #: Wordings of their own: label, keyword, pattern, priority.
 OTHERS = (
@@ -117,19 +119,20 @@ OTHERS = (
     ("proprietary", "proprietary", r"proprietary\s+(?:and\s+confidential|licen[sc]e|software)", 2),
     ("copyright", "copyright", r"copyright\s+(?:\(c\)|©)?\s*\d{4}(?:\s*[-,]\s*\d{4})*", 1),
 )
-#: Any match of a rule holds one of these; texts and lines without one go no further.
+#: Any match of a rule holds one of these; texts without one go no further.
 TRIGGERS = ("licen", "spdx", "under", *(k for k in dict.fromkeys(x[1] for x in OTHERS) if "licen" not in k and k != "cc"), "cc-by", "cc by")
 #: How sure a detection of each priority is.
 SURE = (0.0, 0.4, 0.7, 0.9, 1.0)
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 
 
-def rules() -> list[tuple[int, str, str, str, int]]:
-    """(order, label, keyword, pattern, priority) of every rule."""
-    made = [(label, "spdx" if "{s}" in form and "{n}" not in form else word, form.format(n=name, s=spdx, l=label), priority) for label, (word, name, spdx) in NAMES.items() for form, priority in FORMS]
-    # an identifier may stand where the name's keyword does not
-    made += [(label, "license", rf"licen[sc]e\s*[:=]\s*[\"'(]?(?:{spdx})\b", 3) for label, (_, _, spdx) in NAMES.items()]
-    return [(i, *x) for i, x in enumerate(dict.fromkeys([*OTHERS, *made]))]
+def rules() -> list[tuple[int, str, str, str, str, int]]:
+    """(order, label, keywords, word, pattern, priority) of every rule; keywords are apart by |."""
+    made = [(label, word if "{s}" in form and "{n}" not in form else keys, word, form.format(n=name, s=spdx, l=label), priority) for label, (keys, name, spdx) in NAMES.items() for form, priority, word in FORMS]
+    # an identifier may stand where the name's keywords do not
+    made += [(label, "licen", "licen", rf"licen[sc]e\s*[:=]\s*[\"'(]?(?:{spdx})\b", 3) for label, (_, _, spdx) in NAMES.items()]
+    others = [(label, key, key, pattern, priority) for label, key, pattern, priority in OTHERS]
+    return [(i, *x) for i, x in enumerate(dict.fromkeys([*others, *made]))]
 
 
 def triggered(text: Column) -> Column:
@@ -139,17 +142,25 @@ def triggered(text: Column) -> Column:
     return out
 
 
+def collapsed(text: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.regexp_replace(text, r"\s+", " ")
+
+
 def detections(lines: DataFrame) -> DataFrame:
     """(key, line_no, label, priority, from, to) of what no other detection suppresses.
 
-    Takes (key, line_no, line) with A-Z folded.
+    Takes (key, line_no, line) with A-Z folded; places are those of the line
+    with runs of white space as one space.
     """
     spark = SparkSession.active()
-    table = F.broadcast(spark.createDataFrame(rules(), "rule int, label string, keyword string, pattern string, priority int"))  # some hundred rows
-    words = sorted({r[2] for r in rules()})
-    spaced = F.regexp_replace("line", r"\s", " ")
-    hit = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("spaced"), w))
-    gated = lines.withColumn("spaced", spaced).withColumn("keyword", F.explode(hit)).join(table, "keyword").where(F.rlike("line", F.col("pattern")))
+    # some hundred rows; where two keywords of a rule stand in a text, its second detections are suppressed
+    table = [(i, label, key, *rest) for i, label, keys, *rest in rules() for key in keys.split("|")]
+    words = sorted({r[2] for r in table})
+    table = F.broadcast(spark.createDataFrame(table, "rule int, label string, keyword string, word string, pattern string, priority int"))
+    lines = lines.withColumn("line", collapsed(F.col("line")))
+    hit = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("line"), w))
+    gated = lines.withColumn("keyword", F.explode(hit)).join(table, "keyword").where(F.contains("line", F.col("word"))).where(F.rlike("line", F.col("pattern")))
     matches = F.regexp_extract_all("line", F.col("pattern"), F.lit(0))
     apart = F.split("line", F.col("pattern"), -1)
     state = "struct<at:int,out:array<struct<f:int,t:int>>>"
@@ -187,9 +198,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     base = F.when(gated, let(words, lambda w: F.when(F.size(w) == 0, none).otherwise(places(w)))).otherwise(none)
     rows = d.select("doc_id", "key", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("bigint").alias("n_words"), base.alias("base"))
 
-    low = d.select("key", F.lower("text").alias("low")).where(triggered(F.col("low")))
-    lines = low.select("key", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line"))
-    seen = detections(lines.where(triggered(F.col("line"))).distinct())
+    # white space is collapsed once for all triggers
+    low = d.select("key", F.lit(0).alias("line_no"), let(collapsed(F.lower("text")), lambda x: F.when(triggered(x), x)).alias("line"))
+    seen = detections(low.where("line is not null").distinct())
     seen = seen.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("priority").alias("priority"), F.count("*").alias("n_detections"))
     sure = F.get(F.array(*[F.lit(x) for x in SURE]), F.greatest(F.coalesce("priority", F.lit(0)), F.when(F.size("base") > 0, 2).otherwise(0)))
     out = rows.join(seen, "key", "left")

@@ -214,6 +214,70 @@ def test_license_rules_suppress_what_lies_within(spark):
     assert len(licenses.rules()) >= 200
 
 
+def examples(pattern):
+    """One text for every alternative of a pattern: each part in turn takes each of its forms, the others their first."""
+    from re import _constants as C
+    from re import _parser
+
+    def joined(parts):
+        out = ["".join(p[0] for p in parts)]
+        for k, forms in enumerate(parts):
+            out += ["".join(p[0] for p in parts[:k]) + f + "".join(p[0] for p in parts[k + 1 :]) for f in forms[1:]]
+        return list(dict.fromkeys(out))
+
+    def one(op, av):
+        if op is C.LITERAL:
+            return [chr(av)]
+        if op is C.IN:
+            kinds = {C.CATEGORY_DIGIT: "1", C.CATEGORY_WORD: "a", C.CATEGORY_SPACE: " "}
+            return [chr(x) if o is C.LITERAL else chr(x[0]) if o is C.RANGE else kinds[x] for o, x in av]
+        if op is C.BRANCH:
+            return [x for branch in av[1] for x in joined([one(*y) for y in branch] or [[""]])]
+        if op is C.SUBPATTERN:
+            return joined([one(*y) for y in av[-1]])
+        if op is C.MAX_REPEAT:
+            low, _, body = av
+            some = joined([one(*y) for y in body])
+            return list(dict.fromkeys([*[x * low for x in some], *some])) if low else ["", *some]
+        assert op in (C.AT, C.ASSERT_NOT), op
+        return [""]
+
+    return joined([one(*x) for x in _parser.parse(pattern)])
+
+
+def test_license_gates_let_every_alternative_through():
+    n = 0
+    for _, label, keys, word, pattern, _ in licenses.rules():
+        found = [re.search(pattern, x) for x in examples(pattern)]
+        assert any(found), pattern
+        for m in filter(None, found):
+            n += 1
+            text = re.sub(r"\s+", " ", m[0])
+            assert word in text and any(t in text for t in licenses.TRIGGERS), (label, text)
+            # an identifier without the name is left to the rule of identifiers
+            own = any(k in text for k in keys.split("|"))
+            assert own or any("licen" == r[2] and r[1] == label and (x := re.match(r[4], m[0])) and x.end() >= m.end() for r in licenses.rules()), (label, text)
+    assert n > 2000
+
+
+def test_license_wordings_over_lines(spark):
+    texts = {
+        "lgpl": "it under the terms of the GNU Lesser General Public\nLicense as published",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\n  purpose with or without fee",
+        "mit": "Released under the Expat\r\n\tLicense",
+        "lgpl ": "GNU Library\nGeneral Public License",
+        "python": "the PSF License",
+        "wtfpl": "do what the fuck you want\nto public license",
+        "mpl": "Licence: MPL-2.0",
+        "apache": "available\n\nunder\nthe\napache\nlicense",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, label in enumerate(texts):
+        assert label.strip() in rows[i].labels.split(","), (label, rows[i])
+    assert [rows[i].n_detections for i in (1, 2, 4, 6, 7)] == [1] * 5
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 
