@@ -366,7 +366,7 @@ def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(f"{BUCKETS} SELECT 'numbers' AS violation, 0 AS n WHERE false"))
 def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _bucketed(spark, sf_dir).where("kind <> 7").withColumn("prompt", A.solution_prompt(F.col("numbers"), F.col("target"))).withColumnRenamed("gold", "gold_expr")
+    p = _bucketed(spark, sf_dir).withColumn("prompt", A.solution_prompt(F.col("numbers"), F.col("target"))).withColumnRenamed("gold", "gold_expr")
     return records.violation_report(records.source_violations(p.select("id", "source_index", "numbers", "target", "gold_expr", "prompt", "bucket")))
 
 

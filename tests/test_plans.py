@@ -101,6 +101,19 @@ def test_registered_queries_have_sql_with_the_same_columns():
     assert len(queries.QUERIES) >= 30
 
 
+def order_lines(spark, folder):
+    """A small table of order lines; its orders make a puzzle each, of every kind and size."""
+    rows = [(k, float(1 + (k * 7 + i * 5) % 9)) for k in range(48) for i in range(5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_schema_report_counts_every_kind(spark, tmp_path):
+    from puzzlemill.plans import queries
+
+    assert [tuple(r) for r in queries.schema_report(spark, order_lines(spark, tmp_path)).collect()] == [("gold_expr", 6)]  # kind 7 of 48
+
+
 def test_entry_without_corpus_operators():
     import __spark_entry__ as entry
 
