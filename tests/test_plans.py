@@ -114,6 +114,12 @@ def test_schema_report_counts_every_kind(spark, tmp_path):
     assert [tuple(r) for r in queries.schema_report(spark, order_lines(spark, tmp_path)).collect()] == [("gold_expr", 6)]  # kind 7 of 48
 
 
+def test_solved_source_takes_every_size(spark, tmp_path):
+    from puzzlemill.plans import queries
+
+    assert tuple(queries.solved_source(spark, order_lines(spark, tmp_path)).first()) == (48, 48, 0)
+
+
 def test_entry_without_corpus_operators():
     import __spark_entry__ as entry
 
