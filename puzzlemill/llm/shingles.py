@@ -71,8 +71,8 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     begin = np.concatenate([[0], np.cumsum(have)])
     # the hash of a run of words is a sum over places, so any width costs the same
     value = word.copy()
-    for k in range(1, width):
-        value[: len(word) - k] = _mix(value[: len(word) - k] * _STEP + word[k:]) if len(word) > k else value[:0]
+    for k in range(1, min(width, len(word))):
+        value[: len(word) - k] = _mix(value[: len(word) - k] * _STEP + word[k:])
     sets, size = [], np.zeros(n + 1, np.int64)
     for i in range(n):
         a, b = begin[i], begin[i + 1]

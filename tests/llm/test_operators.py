@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from puzzlemill.llm import chat, decontam, licenses, linededup, logbilinear, mixing, neardup, spotsigs, substrings, toxicity
+from puzzlemill.llm import chat, decontam, licenses, linededup, logbilinear, mixing, neardup, shingles, spotsigs, substrings, toxicity
 
 
 def by_row(df, *columns):
@@ -480,6 +480,15 @@ def test_near_duplicates_in_a_large_group(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == plain_components(pairs, 2)
 
 
+@pytest.mark.parametrize("text", ["two words", "three short words", "four words in all", "one", " "])
+def test_shingles_of_a_lone_short_text(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    own, size = shingles.shingle_sets(data, np.array([0, len(data)]), 5)
+    both = np.frombuffer((text + "a longer text of more than five words").encode(), np.uint8)
+    among, ends = shingles.shingle_sets(both, np.array([0, len(data), len(both)]), 5)
+    assert list(size) == [0, int(bool(text.strip()))] and own.tolist() == among[: ends[1]].tolist()
+
+
 def test_register_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
