@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,14 +57,57 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder.
+#: Shuffle files of a step that has been written are of no more use.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a temporary one is
-    made only where that is unset, as in local tests.
+def _folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder, which the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary one is made only where that is unset and all runs on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="puzzlemill-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared checkpoint folder; the step's shuffle files go."""
+    _folder(df.sparkSession)
+    with _freeing_shuffles(df.sparkSession):
+        return df.checkpoint()
+
+
+class Written(NamedTuple):
+    """A table in the shared folder, and how to delete it after its last reader."""
+
+    rows: DataFrame
+    drop: Callable[[], None]
+
+
+def written(df: DataFrame) -> Written:
+    """Cut the lineage with a compressed table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    where = f"{_folder(spark)}/{uuid.uuid4()}"
+    with _freeing_shuffles(spark):
+        df.write.parquet(where)
+
+    def drop() -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return Written(spark.read.schema(df.schema).parquet(where), drop)

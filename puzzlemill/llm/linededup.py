@@ -1,26 +1,28 @@
 """Line de-duplication by an exact set-similarity join.
 
-A line's tokens are its word shingles (``width`` words, in lower case; the whole
-sequence of a shorter line).  A line is removed if an earlier line, by doc_id
-and line number, has a set with 100 * common >= percent * all; whether that one
-is removed too does not matter.  Blank lines stay.
+A line's tokens are its distinct words in lower case.  A line is removed if an
+earlier line, by doc_id and line number, has a set with 100 * common >=
+percent * all; whether that one is removed too does not matter.  Blank lines
+stay.
 
 * Lines with equal sets are one class, whose first line stays in question.
-* Tokens are ordered by rarity: those of the fullest buckets of a count over all
-  lines come last, by its magnitude; the others by hash.  Any fixed order is
-  exact; this one keeps frequent tokens out of the prefixes.
+* Tokens are ordered by rarity: by the counts of all words of all texts, kept in
+  buckets of a fixed number and on a scale of quarter powers of two, then by
+  hash.  Any fixed order is exact; this one makes the prefixes rare.
 * Two similar sets share a token among the first of both (prefix filter), their
-  sizes differ little (length filter), and what can still follow the shared
-  token must suffice (positional filter).
-* A class first meets two members of each of its prefix tokens: the earliest,
-  and the one where the token stands foremost.  Whoever matches is decided and
-  asks no more; the others meet all that the filters leave.  Similarity is
+  sizes differ little (length filter), what can still follow the shared token
+  must suffice (positional filter), and the parities of their tokens' hashes
+  cannot differ in more bits than the sets differ in tokens (bitmap filter).
+* A class first meets the earliest class of some of its prefix tokens.  Whoever
+  matches is decided and asks no more, so groups of many like lines do not meet
+  pair by pair; the others meet all that the filters leave.  Similarity is
   verified on whole sets.
 
-Defined results: null texts are empty and stay so; equal lines of repeated rows
-have one order (so one of them stays); rows with a null doc_id come last; empty
-tables give empty results; columns other than doc_id and text are ignored, or
-kept as they are by ``drop_repeated_lines``.
+Defined results: null texts are empty and stay so; a text of any length is cut
+in lines and handled whole; of equal lines the first by (doc_id, number, hash of
+the text) stays; of equal rows one stays; rows with a null doc_id come last, by
+hash; empty tables give empty results; columns other than doc_id and text are
+ignored, or kept as they are by ``drop_repeated_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,71 +31,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, words
+from .common import SPACE, SPACE_RUN, let, words, written
 
-WIDTH = 5
-#: Tokens are counted in so many buckets; of the fullest ones, HOT, the magnitude is known.
-BUCKETS, HOT = 1 << 16, 256
-#: Ids up to this number may be broadcast; more are joined by a shuffle.
-SMALL = 200_000
+#: Words are counted in so many buckets.
+BUCKETS = 1 << 18
+#: Bytes of an id in a broadcast table, and how many of all may be broadcast; more are joined by a shuffle.
+ID_BYTES, MOST_BYTES = 64, 32 << 20
+#: Hash bits that a bitmap's second word is used beyond.
+LONG_LINE = 80
+#: One of so many prefix tokens is used to find the earliest classes, one of each of so many kinds.
+HUBS, KINDS = 2, 8
 
 
-def line_tokens(line: Column, width: int) -> Column:
-    """The distinct shingles of a line as an array of hashes; none for a blank line."""
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc, key, text): ``doc`` orders documents, ``key`` tells those of equal ids apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    late = F.lit(1 << 62) + F.shiftrightunsigned(key, 2)
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), late).alias("doc"), key.bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), text.alias("text"), *more)
 
-    def shingles(w: Column) -> Column:
-        n = F.size(w)
-        each = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
-        none = F.array().cast("array<bigint>")
-        return F.when(n == 0, none).when(n >= width, F.array_distinct(each)).otherwise(F.array(F.xxhash64(w)))
 
-    return let(words(F.lower(line)), shingles)
+def _lines(texts: DataFrame) -> DataFrame:
+    """(doc, lo, line): ``lo`` holds the line's number and the text's key."""
+    d = texts.select("doc", "key", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    return d.where(F.length("line") > 0).select("doc", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key")).alias("lo"), "line")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(key, at, line): ``at`` orders lines by document and number."""
-    d = docs.select("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return d.select("key", F.struct("doc", "key", "no").alias("at"), "line").where(F.length("line") > 0)
+def rarity(texts: DataFrame, buckets: int = BUCKETS) -> Column:
+    """A constant array: for each bucket of words the magnitude of its count over all texts."""
+    word = texts.select(F.explode(F.split(F.lower("text"), SPACE_RUN)).alias("word"))
+    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("c"))
+    size = F.floor(F.log2("c") * 4).cast("int")
+    packed = counts.groupBy(F.shiftright("bucket", 9)).agg(F.collect_list(F.struct("bucket", F.least(size, F.lit(127)).alias("size"))).alias("sizes"))
+    sizes = bytearray(buckets)
+    for row in packed.collect():  # ``buckets`` numbers, whatever the input
+        for bucket, s in row.sizes:
+            sizes[bucket] = s
+    return F.split(F.lit(",".join(map(str, sizes))), ",").cast("array<tinyint>")
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+def line_tokens(line: Column, rare: Column, buckets: int = BUCKETS) -> Column:
+    """The distinct words of a line, rarest first: the magnitude in the first byte, then the hash."""
 
+    def token(w: Column) -> Column:
+        h = F.xxhash64(w)
+        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("tinyint"))
+        return F.shiftleft(size.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-def frequent_buckets(lines: DataFrame, width: int) -> dict[int, list[int]]:
-    """The fullest buckets of tokens, by the magnitude of their counts: HOT at most.
+    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), token)))
 
-    Lines are counted whole first, which needs no tokens; those that stand
-    alone add one to each of their tokens and cannot make one frequent, so only
-    the repeated ones are cut, each distinct one once, with its number.
-    """
-    # in line order, so that one spelling of a line is cut for all its copies
-    keyed = lines.select(F.xxhash64("line").alias("h"), "key", "at", "line")
-    repeated = keyed.groupBy("h").agg(F.count("*").alias("c"), F.min("at").alias("at")).where("c > 1")
-    repeated = checkpoint(repeated.select(F.col("at").alias("at_"), "c"))
-    few = repeated.count() <= SMALL
-    one = lines.join(F.broadcast(repeated) if few else repeated, F.col("at") == F.col("at_"))
-    counts = one.select(F.explode(line_tokens(F.col("line"), width)).alias("t"), "c").groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.sum("c").alias("c"))
-    full = counts.where("c > 1").orderBy(F.desc("c"), "bucket").limit(HOT).collect()
-    by_size: dict[int, list[int]] = {}
-    for r in full:
-        by_size.setdefault(r.c.bit_length(), []).append(r.bucket)
-    return by_size
-
-
-def _ordered(tokens: Column, frequent: dict[int, list[int]]) -> Column:
-    """Tokens by rarity: the magnitude of a frequent one's count stands in the first byte, then the hash."""
 
-    every = [b for buckets in frequent.values() for b in buckets]
+def _parities(tokens: Column, half: bool = False) -> Column:
+    """A bit for each of 64 classes of hashes: whether the set holds an odd number of them.
 
-    def rank(t: Column) -> Column:
-        out = F.lit(0)
-        for size, buckets in frequent.items():
-            out = F.when(_bucket(t).isin(buckets), size).otherwise(out)
-        # one look for the many tokens that are not frequent
-        return F.when(_bucket(t).isin(every), out).otherwise(0).cast("bigint") if every else F.lit(0).cast("bigint")
-
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(rank(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+    With ``half`` only for hashes whose seventh bit is set, so that both give 128 classes.
+    """
+    one = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1).cast("bigint")) if half else F.lit(1).cast("bigint")
+    bit = lambda t: F.call_function("shiftleft", one(t), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(bit(t)))
 
 
 def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -101,74 +96,123 @@ def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
     return common * (100 + percent) >= (na + nb) * percent
 
 
-def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """(key, no) of the lines to remove.  Takes (key, doc_id, text)."""
-    lines = _lines(docs)
-    frequent = frequent_buckets(lines, width)
-    tokens = line_tokens(F.col("line"), width)
-    sets = lines.select("key", "at", _ordered(tokens, frequent).alias("tokens"))
+def _small(ids: DataFrame) -> bool:
+    return ids.count() * ID_BYTES <= MOST_BYTES
+
+
+def _later(a: str, b: str) -> Column:
+    """Whether line ``a`` comes after line ``b``."""
+    return (F.col(f"{a}doc") > F.col(f"{b}doc")) | ((F.col(f"{a}doc") == F.col(f"{b}doc")) & (F.col(f"{a}lo") > F.col(f"{b}lo")))
+
+
+def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, hubs: int = HUBS) -> DataFrame:
+    """(doc, key, nos): for each text the numbers of the lines to remove.  Takes (doc_id, text)."""
+    texts = _texts(docs)
+    rare = rarity(texts, buckets)
+    sets = _lines(texts).select("doc", "lo", line_tokens(F.col("line"), rare, buckets).alias("tokens")).select("doc", "lo", F.explode(F.array("tokens")).alias("tokens"))
     n = F.size("tokens")
-    short = n - F.ceil(n * percent / 100).cast("int") + 1
-    places = checkpoint(sets.select("key", "at", F.xxhash64("tokens").alias("sid"), n.alias("n"), F.slice("tokens", F.lit(1), F.greatest(short, F.lit(0))).alias("prefix")))
-    places = places.where("n > 0")  # not before: a filter would make the tokens twice
-    classes = places.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = classes.select("sid", "n", F.posexplode("prefix").alias("i", "token"))
-    rows = rows.select("token", "sid", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("i")).alias("ni"))
-    # a token that no other class has in its prefix leads nowhere
-    token = W.partitionBy("token")
-    rows = checkpoint(rows.withColumn("many", F.count("*").over(token)).where("many > 1").select("token", "sid", "ni"))
-    firsts = places.groupBy("sid").agg(F.min("at").alias("first"))
-    likely = checkpoint(rows.select("sid").distinct().join(firsts, "sid"))
-    rows = rows.join(likely, "sid").select("token", "sid", "first", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
-    rows = checkpoint(rows)
+    first = F.slice("tokens", F.lit(1), F.greatest(n - F.ceil(n * percent / 100).cast("int") + 1, F.lit(0)))
+    wide = F.when(n > LONG_LINE, _parities(F.col("tokens"), half=True)).otherwise(F.lit(0).cast("bigint"))
+    lines = written(sets.select("doc", "lo", F.xxhash64("tokens").alias("sid"), n.alias("n"), first.alias("prefix"), _parities(F.col("tokens")).alias("odd"), wide.alias("odd2")))
+    # the whole prefix tells classes apart besides the hash
+    classes = lines.rows.where("n > 0").groupBy("sid", "n", "prefix", "odd", "odd2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("many"))
+    classes = written(classes.select("sid", "n", "prefix", "odd", "odd2", "first.doc", "first.lo", "many"))
+    # sets of one to three words are like equal ones alone (at 75 % and above)
+    least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 30
+    asked = classes.rows.where(F.col("n") >= least)
+
+    def prefixes(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("doc", "lo", "n", "odd", "odd2", *more, F.posexplode("prefix").alias("i", "token"))
+        return rows.select("token", "doc", "lo", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i")).alias("ni"), "odd", "odd2", *more)
 
     def viable(a: str, b: str) -> Column:
-        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        rest = F.least(na - F.col(f"{a}i"), nb - F.col(f"{b}i"))
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & _reaches(rest, na, nb, percent)
-
-    hub = lambda *order: F.min(F.struct(*order)).over(token)
-    early = hub("first", "sid", "n", "i")
-    front = hub("i", "first", "sid", "n")
-    same = lambda h: F.struct(h["first"].alias("first"), h["sid"].alias("sid"), h["n"].alias("n"), h["i"].alias("i"))
-    stars = rows.withColumn("early", early).withColumn("front", front).withColumn("hub", F.explode(F.array(same(F.col("early")), same(F.col("front")))))
-    stars = stars.select("sid", "first", "n", "i", F.col("hub.sid").alias("b_sid"), F.col("hub.first").alias("b_first"), F.col("hub.n").alias("b_n"), F.col("hub.i").alias("b_i"))
-    stars = checkpoint(stars.where("b_first < first").where(viable("", "b_")).select("sid", "b_sid").distinct())
-
-    # whole sets of the classes that may match, made again from their first lines
-    spots = likely.select("sid", F.col("first.key").alias("spot_key"), F.col("first.no").alias("spot_no"))
-    few = likely.count() <= SMALL
-    near = docs.join(F.broadcast(spots.select("spot_key").distinct()) if few else spots.select("spot_key").distinct(), F.col("key") == F.col("spot_key"), "left_semi")
-    near = _lines(near).select("key", F.col("at.no").alias("no"), "line")
-    near = near.join(F.broadcast(spots) if few else spots, (F.col("key") == F.col("spot_key")) & (F.col("no") == F.col("spot_no")))
-    whole = near.select("sid", line_tokens(F.col("line"), width).alias("tokens"))
-    whole = checkpoint(whole.dropDuplicates(["sid"]))  # repeated rows bring a set again
+        size = lambda x: F.shiftright(F.col(f"{x}ni"), 32).cast("int")
+        place = lambda x: F.col(f"{x}ni").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+        na, nb = size(a), size(b)
+        rest = F.least(na - place(a), nb - place(b))
+        # the sets may differ in as many tokens as (na + nb) * (100 - percent) / (100 + percent)
+        odd, odd2 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("odd", "odd2"))
+        bits = F.when((na > LONG_LINE) & (nb > LONG_LINE), F.bit_count(odd.bitwiseXOR(odd2)) + F.bit_count(odd2)).otherwise(F.bit_count(odd))
+        near = bits * (100 + percent) <= (na + nb) * (100 - percent)
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & _reaches(rest, na, nb, percent) & near
+
+    pair = [F.col(c) for c in ("doc", "lo", "b_doc", "b_lo")]
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The whole sets of lines (doc, lo), made again from their texts."""
+        spots = ids.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).alias("no"))
+        spots = spots.groupBy("doc", "key").agg(F.collect_set("no").alias("nos"))  # lines of one text
+        there = texts.join(F.broadcast(spots) if _small(ids) else spots, ["doc", "key"])
+        there = there.select("doc", "key", "nos", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no").cast("bigint")))
+        lo = F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key"))
+        return there.select("doc", lo.alias("lo"), line_tokens(F.col("line"), rare, buckets).alias("tokens"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The classes ``sid`` of pairs (sid, b_sid) that reach the similarity."""
-        other = whole.select(F.col("sid").alias("b_sid"), F.col("tokens").alias("b_tokens"))
-        both = pairs.join(whole, "sid").join(other, "b_sid")
+        """The lines (doc, lo) of pairs that reach the similarity."""
+        found = written(pairs)
+        ids = found.rows.select("doc", "lo").unionByName(found.rows.select(F.col("b_doc").alias("doc"), F.col("b_lo").alias("lo"))).distinct()
+        # equal rows bring a set again
+        whole = written(sets_of(ids).dropDuplicates(["doc", "lo"]))
+        other = whole.rows.select(F.col("doc").alias("b_doc"), F.col("lo").alias("b_lo"), F.col("tokens").alias("b_tokens"))
+        both = found.rows.join(whole.rows, ["doc", "lo"]).join(other, ["b_doc", "b_lo"])
         common = F.size(F.array_intersect("tokens", "b_tokens"))
-        return both.where(_reaches(common, F.size("tokens"), F.size("b_tokens"), percent)).select("sid").distinct()
-
-    decided = checkpoint(verified(stars))
-    asking = rows.join(decided, "sid", "left_anti")
-    other = rows.select("token", F.col("sid").alias("b_sid"), F.col("first").alias("b_first"), F.col("n").alias("b_n"), F.col("i").alias("b_i"))
-    rest = asking.join(other, "token").where("b_first < first").where(viable("", "b_")).select("sid", "b_sid").distinct()
-    more = verified(rest.join(stars, ["sid", "b_sid"], "left_anti"))
-    gone = decided.unionByName(more).select("sid", F.lit(True).alias("gone"))
-    out = places.select("key", "at", "sid").join(firsts.join(gone, "sid", "left"), "sid").where("gone or at <> first")
-    return out.select("key", F.col("at.no").alias("no"))
-
-
-def drop_repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """``docs`` with the text that remains, and (n_lines, n_removed); its other columns as they are."""
-    d = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    plain = d.select("key", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = repeated_lines(plain, width, percent).groupBy(F.col("key").alias("gone_key")).agg(F.collect_set("no").alias("gone"))
-    out = d.join(gone, F.col("key") == F.col("gone_key"), "left")
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    left = let(lines, lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains("gone", i)), "\n"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    others = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    return out.select(*others, F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+        out = written(both.where(_reaches(common, F.size("tokens"), F.size("b_tokens"), percent)).select("doc", "lo").distinct())
+        whole.drop()
+        found.drop()
+        return out.rows
+
+    # a class and the earliest ones of its token, one of each kind by hash, for some of the tokens
+    some = prefixes(asked).where(F.pmod("token", F.lit(hubs)) == 0) if hubs > 1 else prefixes(asked)
+    one = F.struct("doc", "lo", "ni", "odd", "odd2")
+    kind = F.pmod(F.xxhash64("doc", "lo"), F.lit(KINDS))
+    hub = some.groupBy("token").agg(F.count("*").alias("many"), *[F.min(F.when(kind == k, one)).alias(f"hub{k}") for k in range(KINDS)]).where("many > 1")
+    hub = hub.select("token", F.explode(F.array_compact(F.array(*[f"hub{k}" for k in range(KINDS)]))).alias("hub"))
+    star = some.join(hub.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")]), "token")
+    decided = verified(star.where(_later("", "b_") & viable("", "b_")).select(*pair).distinct())
+    rows = prefixes(asked.join(decided.withColumn("known", F.lit(1).cast("bigint")), ["doc", "lo"], "left").fillna(0, "known"), "known")
+    # both sides read one exchange; the decided ones are left out by a condition on both
+    other = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in rows.columns[1:]])
+    open_ = F.least("known", F.col("b_ni") + F.col("b_known")) == 0
+    rest = rows.join(other, "token").where(_later("", "b_") & viable("", "b_") & open_).select(*pair).distinct()
+    gone = decided.unionByName(verified(rest))
+    # the first line of a class that goes, and every other line of a class of several
+    marked = written(classes.rows.join(gone.withColumn("gone", F.lit(True)), ["doc", "lo"], "left").where("gone or many > 1").select("sid", "n", "odd", "odd2", F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), "gone"))
+    out = lines.rows.drop("prefix").join(F.broadcast(marked.rows) if _small(marked.rows) else marked.rows, ["sid", "n", "odd", "odd2"])
+    out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
+    out = out.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).cast("int").alias("no"))
+    out = written(out.groupBy("doc", "key").agg(F.collect_set("no").alias("nos")))  # lines of one text
+    for table in (lines, classes, marked):
+        table.drop()
+    return out.rows
+
+
+def drop_repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, hubs: int = HUBS) -> DataFrame:
+    """``docs`` with the text that remains, and (n_lines, n_removed), which replace columns of these names.
+
+    Its other columns stay as they are.  Of equal rows (doc_id and text) all but
+    one lose all their lines but blank ones.
+    """
+    gone = repeated_lines(docs.select("doc_id", "text"), percent, buckets, hubs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = _texts(docs, row, F.lit(1).alias("copy"))
+    twice = own.groupBy("doc", "key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    if not twice.isEmpty():
+        known = twice.withColumn("again", F.lit(True))
+        own = own.join(F.broadcast(known) if _small(known) else known, ["doc", "key"], "left")
+        number = F.row_number().over(W.partitionBy("doc", "key").orderBy(F.to_json("row")))
+        again = own.where("again").withColumn("copy", number)
+        own = own.where("again is null").unionByName(again).drop("again")
+    numbers = gone.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("nos")), F.lit(0)).alias("lines")).first()
+    small = numbers.texts * ID_BYTES + numbers.lines * 4 <= MOST_BYTES
+    out = own.join(F.broadcast(gone) if small else gone, ["doc", "key"], "left")
+    blank = lambda x: F.length(F.btrim(x, F.lit(SPACE))) == 0
+    stays = lambda x, i: F.when(F.col("copy") > 1, blank(x)).otherwise(~F.array_contains("nos", i))
+    lines = F.split("text", "\n", -1)
+    kept = let(lines, lambda x: F.filter(x, stays))
+    changed = F.col("nos").isNotNull() | (F.col("copy") > 1)
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("row.text").cast("string"))
+    removed = F.when(changed, F.size(lines) - F.size(kept)).otherwise(0)
+    # first beside the row, since its names may be those used here
+    out = out.select("row", text.alias("left"), F.size(lines).cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed"))
+    others = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.col("left").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(F.struct(*others, "n_lines", "n_removed").alias("row")).select("row.*")

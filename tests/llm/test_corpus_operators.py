@@ -281,35 +281,60 @@ def test_license_wordings_over_lines(spark):
 # --- 5 ---------------------------------------------------------------------------
 
 
-def plain_tokens(line, width=5, least=3):
-    w = [x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x]
-    if len(w) < least:
-        return None
-    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)])
+def plain_tokens(line):
+    """The distinct words; None for a blank line."""
+    return frozenset(x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x) or None
 
 
 def test_line_dedup(docs, pairs, empty):
+    """Every line against every earlier one; of equal rows one keeps what the first would."""
     rows = linededup.drop_repeated_lines(docs).collect()
-    lines = [(i, k, x) for i, t in ordered(pairs) for k, x in enumerate((t or "").split("\n"))]
-    sets = [plain_tokens(x) for *_, x in lines]
+    once = list(dict.fromkeys(ordered(pairs)))
+    lines = [(i, x) for i, t in once for x in (t or "").split("\n")]
+    sets = [plain_tokens(x) for _, x in lines]
     kept = collections.Counter()
-    for a, (i, _, _) in enumerate(lines):
-        if sets[a] is None or not any(s is not None and 100 * len(s & sets[a]) >= 80 * len(s | sets[a]) for s in sets[:a]):
-            kept[i] += 1
+    for a, (i, _) in enumerate(lines):
+        kept[i] += sets[a] is None or not any(s is not None and 100 * len(s & sets[a]) >= 80 * len(s | sets[a]) for s in sets[:a])
+    for i, t in [p for p in pairs if pairs.count(p) > 1][1:]:
+        kept[i] += sum(plain_tokens(x) is None for x in (t or "").split("\n"))
     left = collections.Counter()
     for r in rows:
         left[r.doc_id] += r.n_lines - r.n_removed
-    # of repeated rows either copy may keep the lines
-    assert left == kept
-    assert {c for c in linededup.drop_repeated_lines(docs).columns} >= set(docs.columns)
+        assert len((r.text or "").split("\n")) == r.n_lines - r.n_removed or r.n_removed == r.n_lines
+    assert len(rows) == len(pairs) and left == kept
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
-def test_line_dedup_near_lines(spark):
+def test_line_dedup_keeps_columns_whatever_their_names(spark):
+    names = ["key", "gone", "doc", "lo", "nos", "row", "copy", "again", "token", "n_lines"]
+    rows = [(1, "one two three four", *range(10)), (2, "one two three four\nfresh", *range(10, 20)), (None, None, *range(20, 30))]
+    out = linededup.drop_repeated_lines(spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} long" for n in names]])))
+    assert out.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[2][n] for n in names[:-1]] == list(range(10, 19)) and (got[2].text, got[2].n_lines, got[2].n_removed) == ("fresh", 2, 1)
+    assert (got[None].text, got[None].key, got[None].n_lines, got[None].n_removed) == (None, 20, 1, 0)
+
+
+def test_line_dedup_of_equal_rows(spark):
+    rows = [(5, "one two three\n\nfour five"), (5, "one two three\n\nfour five"), (5, "other words"), (7, "other words"), (None, "fresh"), (None, "fresh")]
+    left = sorted((str(r.doc_id), r.text) for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == [("5", ""), ("5", "one two three\n\nfour five"), ("5", "other words"), ("7", ""), ("None", ""), ("None", "fresh")]
+
+
+def test_line_dedup_one_word_in_twenty(spark):
+    line = [f"word{i}" for i in range(20)]
+    rows = [(1, " ".join(line)), (2, " ".join([*line[:7], "other", *line[8:]])), (3, " ".join([*line[:7], *"abc", *line[10:]]))]
+    out = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("buckets, hubs", [(linededup.BUCKETS, linededup.HUBS), (16, 10**9)])
+def test_line_dedup_near_lines(spark, buckets, hubs):
+    """Equal to brute force with a poor order and without any hubs too."""
     import random
 
     rng = random.Random(4)
-    out, bank = [], [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(5, 60))) for _ in range(30)]
+    out, bank = [], [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(4, 60 if k else 300))) for k in range(30)]
     for i in range(150):
         w = rng.choice(bank).split()
         for _ in range(rng.randint(0, 2)):
@@ -317,7 +342,7 @@ def test_line_dedup_near_lines(spark):
         out.append((i, " ".join(w)))
     sets = [plain_tokens(t) for _, t in out]
     want = {i for i in range(150) if any(100 * len(sets[j] & sets[i]) >= 80 * len(sets[j] | sets[i]) for j in range(i))}
-    rows = linededup.drop_repeated_lines(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    rows = linededup.drop_repeated_lines(spark.createDataFrame(out, "doc_id long, text string"), buckets=buckets, hubs=hubs).collect()
     assert {r.doc_id for r in rows if r.n_removed} == want
 
 
@@ -329,7 +354,7 @@ def test_line_dedup_short_lines(spark):
     for i, t in enumerate(texts):
         kept = []
         for x in t.split("\n"):
-            words = tuple(x.lower().split())
+            words = frozenset(x.lower().split())
             if not words or words not in seen:
                 kept.append(x)
             seen.add(words)
