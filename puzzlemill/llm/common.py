@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space as the query contracts define it.
@@ -57,6 +58,28 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+#: Bytes of an id in a broadcast table, and how many of all may be broadcast; more are joined by a shuffle.
+ID_BYTES, MOST_BYTES = 64, 32 << 20
+
+
+def small(ids: DataFrame) -> bool:
+    """Whether a table of ids may be broadcast."""
+    return ids.count() * ID_BYTES <= MOST_BYTES
+
+
+def number_equal(rows: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``copy``: 1, 2, ... for rows of equal keys, 1 for all others, which are not moved.
+
+    The others columns of ``rows`` must be in a struct ``row``, which orders equal ones.
+    """
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1").select(*keys, F.lit(True).alias("again"))
+    if twice.isEmpty():
+        return rows.withColumn("copy", F.lit(1))
+    rows = rows.join(F.broadcast(twice) if small(twice) else twice, list(keys), "left")
+    again = rows.where("again").withColumn("copy", F.row_number().over(W.partitionBy(*keys).orderBy(F.to_json("row"))))
+    return rows.where("again is null").withColumn("copy", F.lit(1)).unionByName(again).drop("again")
+
+
 #: Shuffle files of a step that has been written are of no more use.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

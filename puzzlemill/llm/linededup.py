@@ -28,19 +28,16 @@ ignored, or kept as they are by ``drop_repeated_lines``, whatever their names.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RUN, let, words, written
+from .common import ID_BYTES, MOST_BYTES, SPACE, SPACE_RUN, let, number_equal, small, words, written
 
 #: Words are counted in so many buckets.
 BUCKETS = 1 << 18
-#: Bytes of an id in a broadcast table, and how many of all may be broadcast; more are joined by a shuffle.
-ID_BYTES, MOST_BYTES = 64, 32 << 20
 #: Hash bits that a bitmap's second word is used beyond.
 LONG_LINE = 80
 #: One of so many prefix tokens is used to find the earliest classes, one of each of so many kinds.
-HUBS, KINDS = 2, 8
+HUBS, KINDS = 1, 8
 
 
 def _texts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -96,10 +93,6 @@ def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
     return common * (100 + percent) >= (na + nb) * percent
 
 
-def _small(ids: DataFrame) -> bool:
-    return ids.count() * ID_BYTES <= MOST_BYTES
-
-
 def _later(a: str, b: str) -> Column:
     """Whether line ``a`` comes after line ``b``."""
     return (F.col(f"{a}doc") > F.col(f"{b}doc")) | ((F.col(f"{a}doc") == F.col(f"{b}doc")) & (F.col(f"{a}lo") > F.col(f"{b}lo")))
@@ -142,7 +135,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
         """The whole sets of lines (doc, lo), made again from their texts."""
         spots = ids.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).alias("no"))
         spots = spots.groupBy("doc", "key").agg(F.collect_set("no").alias("nos"))  # lines of one text
-        there = texts.join(F.broadcast(spots) if _small(ids) else spots, ["doc", "key"])
+        there = texts.join(F.broadcast(spots) if small(ids) else spots, ["doc", "key"])
         there = there.select("doc", "key", "nos", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no").cast("bigint")))
         lo = F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key"))
         return there.select("doc", lo.alias("lo"), line_tokens(F.col("line"), rare, buckets).alias("tokens"))
@@ -177,7 +170,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     gone = decided.unionByName(verified(rest))
     # the first line of a class that goes, and every other line of a class of several
     marked = written(classes.rows.join(gone.withColumn("gone", F.lit(True)), ["doc", "lo"], "left").where("gone or many > 1").select("sid", "n", "odd", "odd2", F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), "gone"))
-    out = lines.rows.drop("prefix").join(F.broadcast(marked.rows) if _small(marked.rows) else marked.rows, ["sid", "n", "odd", "odd2"])
+    out = lines.rows.drop("prefix").join(F.broadcast(marked.rows) if small(marked.rows) else marked.rows, ["sid", "n", "odd", "odd2"])
     out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
     out = out.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).cast("int").alias("no"))
     out = written(out.groupBy("doc", "key").agg(F.collect_set("no").alias("nos")))  # lines of one text
@@ -194,17 +187,10 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKE
     """
     gone = repeated_lines(docs.select("doc_id", "text"), percent, buckets, hubs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    own = _texts(docs, row, F.lit(1).alias("copy"))
-    twice = own.groupBy("doc", "key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    if not twice.isEmpty():
-        known = twice.withColumn("again", F.lit(True))
-        own = own.join(F.broadcast(known) if _small(known) else known, ["doc", "key"], "left")
-        number = F.row_number().over(W.partitionBy("doc", "key").orderBy(F.to_json("row")))
-        again = own.where("again").withColumn("copy", number)
-        own = own.where("again is null").unionByName(again).drop("again")
+    own = number_equal(_texts(docs, row), "doc", "key")
     numbers = gone.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("nos")), F.lit(0)).alias("lines")).first()
-    small = numbers.texts * ID_BYTES + numbers.lines * 4 <= MOST_BYTES
-    out = own.join(F.broadcast(gone) if small else gone, ["doc", "key"], "left")
+    fits = numbers.texts * ID_BYTES + numbers.lines * 4 <= MOST_BYTES
+    out = own.join(F.broadcast(gone) if fits else gone, ["doc", "key"], "left")
     blank = lambda x: F.length(F.btrim(x, F.lit(SPACE))) == 0
     stays = lambda x, i: F.when(F.col("copy") > 1, blank(x)).otherwise(~F.array_contains("nos", i))
     lines = F.split("text", "\n", -1)
