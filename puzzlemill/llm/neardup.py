@@ -29,6 +29,7 @@ keeps them all); empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick
+from .common import checkpoint, number_equal, pick, small, written
 from .shingles import pieces, shingle_sets
 from .substrings import _mix
 
@@ -46,10 +47,8 @@ BANDS, ROWS = 24, 4
 BASE = 1.001
 #: An estimate this far below the threshold (over five standard errors) drops a pair.
 SLACK = 0.22
-#: Registers of the longer sketches, their slack (over five standard errors), members of a block.
-LONG, LONG_SLACK, MEMBERS = 320, 0.12, 1000
-#: Ids up to this number may be broadcast; more are joined by a shuffle.
-SMALL = 200_000
+#: Registers of the longer sketches, their slack (over five standard errors), members and shingles of a block.
+LONG, LONG_SLACK, MEMBERS, ITEMS = 320, 0.12, 1000, 1 << 20
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32)
@@ -91,21 +90,25 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (lo + hi) / 2
 
 
-def _sketches(width: int):
+def _sketches(width: int, seed: int):
+    """Size, two signatures and registers of each set."""
+    start = _mix(np.array([seed], np.uint64))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in pieces(batch.column(1)):
                 items, size = shingle_sets(data, at, width)
                 n = np.diff(size)
                 some = n > 0
-                sign = np.zeros(j - i, np.uint64)
+                sign, check = np.zeros((2, j - i), np.uint64)
                 if len(items):
-                    sign[some] = _mix(np.add.reduceat(_mix(items), size[:-1][some]) + n[some].astype(np.uint64))
+                    for k, out in enumerate((sign, check)):
+                        out[some] = _mix(np.add.reduceat(_mix(items ^ (start + np.uint64(k))), size[:-1][some]) + n[some].astype(np.uint64))
                     own = [x.tobytes() for x in registers(items, size)]
                 regs = iter(own if len(items) else ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(sign.view(np.int64), mask=~some), pa.array([next(regs) if s else None for s in some], pa.binary())],
-                    names=["doc_id", "n", "node", "regs"],
+                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(sign.view(np.int64), mask=~some), pa.array(check.view(np.int64)), pa.array([next(regs) if s else None for s in some], pa.binary())],
+                    names=["row", "n", "node", "check", "regs"],
                 )
 
     return rows
@@ -123,19 +126,20 @@ def _sets(width: int):
     return rows
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * common >= percent * all, of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verified(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            ok = [_alike(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair), percent) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return rows
@@ -163,30 +167,61 @@ def _lengthened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in regs], pa.binary()), pa.array(np.diff(size))], names=["node", "regs", "n"])
 
 
-def _partners(percent: int):
-    """Likely partners (a, b) of the block's outsiders."""
+class _Blocks:
+    """The members and the outsiders of a block, and whom of them to look at."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.node, self.label, self.n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        self.outside, self.query = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "query"))
+        self.regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), ">u2").reshape(len(self.node), -1).astype(np.uint16)
+        self.bands = self.regs[:, : BANDS * ROWS].copy().view(np.uint64)  # four registers a band
+        self.members = np.flatnonzero(~self.query)
+        self.here = int(table.column("place")[0].as_py())
+        self.percent = percent
+
+    def likely(self, x: int, label: np.ndarray) -> np.ndarray:
+        """Members that an outsider may be like and has no common label with, the likeliest first."""
+        y, n = self.members, self.n
+        y = y[label[y] != label[x]]
+        # two outsiders meet once; and a pair only in the first band that it shares
+        y = y[~self.outside[y] | (self.node[y] > self.node[x])]
+        y = y[(100 * n[y] >= self.percent * n[x]) & (100 * n[x] >= self.percent * n[y])]
+        y = y[~(self.bands[y, : self.here] == self.bands[x, : self.here]).any(1)]
+        if not len(y):
+            return y
+        own = np.broadcast_to(self.regs[x].astype(np.int32), (len(y), self.regs.shape[1]))
+        like = estimate(own, self.regs[y].astype(np.int32), np.full(len(y), float(n[x])), n[y].astype(float))
+        good = np.flatnonzero(like >= self.percent / 100 - LONG_SLACK)
+        return y[good[np.argsort(-like[good], kind="stable")]]
+
+
+def _meeting(percent: int):
+    """The rows of a block that have a likely partner in it: as many as there are, at most."""
 
     def block(table: pa.Table) -> pa.Table:
-        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        outside, query = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "query"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), ">u2").reshape(len(node), -1).astype(np.uint16)
-        bands = regs[:, : BANDS * ROWS].copy().view(np.uint64)  # four registers a band
-        members = np.flatnonzero(~query)
-        here = int(table.column("place")[0].as_py()) if len(node) else 0
-        a, b = [], []
-        for x in np.flatnonzero(query):
-            y = members[label[members] != label[x]]
-            # two outsiders meet once; and a pair only in the first band that it shares
-            y = y[~outside[y] | (node[y] > node[x])]
-            y = y[(100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
-            y = y[~(bands[y, :here] == bands[x, :here]).any(1)]
-            if not len(y):
-                continue
-            like = estimate(np.broadcast_to(regs[x].astype(np.int32), (len(y), regs.shape[1])), regs[y].astype(np.int32), np.full(len(y), float(n[x])), n[y].astype(float))
-            good = np.flatnonzero(like >= percent / 100 - LONG_SLACK)
-            a.append(np.full(len(good), node[x]))
-            b.append(node[y[good]])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        blocks, seen = _Blocks(table, percent), np.zeros(table.num_rows, bool)
+        for x in np.flatnonzero(blocks.query):
+            y = blocks.likely(x, blocks.label)
+            seen[y] = True
+            seen[x] |= len(y) > 0
+        return table.filter(pa.array(seen))
+
+    return block
+
+
+def _forest(percent: int):
+    """Verified links (a, b) that join components: fewer than the block has rows, whatever their pairs."""
+
+    def block(table: pa.Table) -> pa.Table:
+        blocks = _Blocks(table, percent)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items").combine_chunks()]
+        label, links = blocks.label.copy(), []
+        for x in np.flatnonzero(blocks.query):
+            for y in blocks.likely(x, label):
+                if label[x] != label[y] and _alike(sets[x], sets[y], percent):
+                    links.append((blocks.node[x], blocks.node[y]))
+                    label[label == label[x]] = label[y]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return block
@@ -225,7 +260,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     # the sets of all classes that share a bucket, drawn from one document of each
     ids = rows.select("node").distinct().join(classes.select("node", "doc_id", "twin"), "node").select("node", "doc_id", "twin")
     ids = checkpoint(ids)
-    one = docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "twin").select("node", "text")
+    one = docs.join(F.broadcast(ids) if small(ids) else ids, "twin").select("node", "text")
     sets = checkpoint(one.mapInArrow(_sets(width), "node bigint, items binary").dropDuplicates(["node"]))
     central = rows.groupBy("node").agg(F.sum("full").alias("pull"))
     rows = checkpoint(rows.select("node", "place", "band").join(central, "node"))
@@ -275,44 +310,88 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     rows = labelled(rows)
     if not rows.isEmpty():
         long = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(_lengthened, "node bigint, regs binary, n bigint")
-        of_label = rows.groupBy("band", "label").agg(F.count("*").alias("many"))
-        main = of_label.groupBy("band").agg(F.max(F.struct("many", "label")).alias("main"), F.sum("many").alias("all"))
-        dealt = rows.select("place", "band", "node", "label").join(main, "band").withColumn("outside", F.col("label") != F.col("main.label"))
-        blocks = F.ceil(F.col("all") / MEMBERS).cast("int")
-        own = dealt.select("place", "band", "node", "label", "outside", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(False).alias("query"))
-        asks = dealt.where("outside").select("place", "band", "node", "label", "outside", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("query"))
-        both = own.unionByName(asks).join(long, "node")
-        verify(both.groupBy("band", "block").applyInArrow(_partners(percent), "a bigint, b bigint").distinct(), exact)
+        long = written(long)
+        # a bucket's outsiders, in blocks, against all its members, in blocks of a bounded number of shingles too
+        dealt = rows.select("place", "band", "node", "label").join(long.rows.select("node", "n"), "node")
+        of_label = dealt.groupBy("band", "label").agg(F.count("*").alias("many"), F.sum("n").alias("items"))
+        main = of_label.groupBy("band").agg(F.max(F.struct("many", "label")).alias("main"), F.sum("many").alias("all"), F.sum("items").alias("items"), (F.sum("many") - F.max("many")).alias("out"))
+        dealt = dealt.join(main, "band").withColumn("outside", F.col("label") != F.col("main.label"))
+        part = F.greatest(F.col("all") / MEMBERS, F.col("items") / ITEMS)
+        blocks = F.ceil(part).cast("int")
+        asking = F.ceil(part * F.col("out") / F.col("all")).cast("int")
+        of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        named = ["place", "band", "node", "label", "outside"]
+        own = dealt.select(*named, each(asking).alias("ask"), of(blocks).alias("block"), F.lit(False).alias("query"))
+        asks = dealt.where("outside").select(*named, of(asking).alias("ask"), each(blocks).alias("block"), F.lit(True).alias("query"))
+        both = own.unionByName(asks).join(long.rows, "node")
+        met = written(both.groupBy("band", "ask", "block").applyInArrow(_meeting(percent), both.schema))
+        full = met.rows.join(sets, "node")
+        links = checkpoint(full.groupBy("band", "ask", "block").applyInArrow(_forest(percent), "a bigint, b bigint").distinct())
+        for table in (long, met):
+            table.drop()
+        if not links.isEmpty():
+            labels = components(links if tried is None else links.unionByName(tried.where("ok").select("a", "b")))
     return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
+def _classes(d: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows and the classes of equal sets.
 
-    Documents whose shingle sets have 100 * common >= percent * all are linked;
-    ``component_id`` is the smallest doc_id that links reach.
+    A class has a signature of 64 bits; a second one tells whether sets that
+    differ share the first, and then all are signed anew.
     """
+    row = "row struct<doc_id:bigint,twin:bigint>, n bigint, node bigint, check bigint, regs binary"
+    for seed in itertools.count():
+        signed = d.select(F.struct("doc_id", "twin").alias("row"), "text").mapInArrow(_sketches(width, seed), row)
+        sketch = written(signed.select("row.doc_id", "row.twin", "n", "node", "check", "regs")).rows
+        classes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "twin", "n", "regs")).alias("one"), (F.min("check") != F.max("check")).alias("mixed"))
+        classes = checkpoint(classes.select("node", "low", "one.doc_id", "one.twin", "one.n", "one.regs", "mixed"))
+        if classes.where("mixed").isEmpty():
+            return sketch, classes.drop("mixed")
+    raise AssertionError
+
+
+def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, twin, n, node, label, component_id) of all rows; no node: an empty set."""
     d = pick(docs, doc_id="bigint", text="string")
     # the two parts of a row's identity: equal rows have equal sets
     d = d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("twin"))
-    sketch = checkpoint(
-        d.select(F.struct("doc_id", "twin").alias("row"), "text").mapInArrow(_sketches(width), "row struct<doc_id:bigint,twin:bigint>, n bigint, node bigint, regs binary").select("row.doc_id", "row.twin", "n", "node", "regs")
-    )
-    classes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "twin", "n", "regs")).alias("one"))
-    classes = checkpoint(classes.select("node", "low", "one.doc_id", "one.twin", "one.n", "one.regs"))
+    sketch, classes = _classes(d, width)
     labels = _links(d, classes, width, percent)
     if labels is None:
-        named = classes.select("node", F.col("low").alias("component_id"))
+        named = classes.select("node", F.col("node").alias("label"), F.col("low").alias("component_id"))
     else:
         named = classes.select("node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         first = named.groupBy("label").agg(F.min("low").alias("component_id"))
-        named = named.join(first, "label").select("node", "component_id")
-    out = sketch.select("doc_id", "n", "node").join(named, "node", "left")
+        named = named.join(first, "label").select("node", "label", "component_id")
+    return sketch.select("doc_id", "twin", "n", "node").join(named, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
+
+    Documents whose shingle sets have 100 * common >= percent * all are linked;
+    ``component_id`` is the smallest doc_id that links reach.
+    """
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = _named(docs, width, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each component."""
-    keep = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of ``docs`` that are kept: one of each component, with the smallest doc_id.
+
+    Of rows with this id the one whose hash is smallest stays, of equal rows one;
+    every row with an empty set stays.
+    """
+    rows = _named(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "twin")
+    best = rows.where("node is not null").groupBy("label").agg(F.min(order).alias("best")).select("best.doc_id", "best.twin")
+    empty = rows.where("node is null").select("doc_id", "twin").distinct()
+    keep = written(best.withColumn("single", F.lit(True)).unionByName(empty.withColumn("single", F.lit(False)))).rows
+    keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias("kept_id"), F.col("twin").alias("kept_twin"), "single")
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("kept_id"), F.xxhash64(doc_id, text).alias("kept_twin"))
+    kept = own.join(F.broadcast(keep) if small(keep) else keep, ["kept_id", "kept_twin"])
+    return number_equal(kept, "kept_id", "kept_twin").where("copy = 1 or not single").select("row.*")

@@ -490,9 +490,12 @@ def test_near_duplicates(docs, pairs, empty, width):
     assert neardup.near_duplicates(empty, width).count() == 0
 
 
-def test_near_duplicates_in_a_large_group(spark):
+@pytest.mark.parametrize("members", [neardup.MEMBERS, 20])
+def test_near_duplicates_in_a_large_group(spark, monkeypatch, members):
+    """In one block of members and in several."""
     import random
 
+    monkeypatch.setattr(neardup, "MEMBERS", members)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     pairs = []
@@ -505,6 +508,22 @@ def test_near_duplicates_in_a_large_group(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == plain_components(pairs, 2)
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark, docs, pairs):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, 1, 7), (1, a, 2, 7), (2, a, 3, 7), (3, b, 4, 7), (3, a + " end", 5, 7), (None, b, 6, 7), (None, None, 8, 7), (None, None, 9, 7), (4, "", 10, 7)]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, copy long, row long"))
+    assert got.columns == ["doc_id", "text", "copy", "row"]
+    left = got.collect()
+    assert sorted((str(r.doc_id), r.text) for r in left if r.text) == [("1", a), ("3", b)]
+    assert sorted(r.copy for r in left if not r.text) == [8, 9, 10] and {r.row for r in left} == {7}
+    # the table of awkward rows: one row for each component of rows with words
+    component = {c for (_, n, c, _) in plain_components(pairs, 5) if n}
+    kept = neardup.drop_near_duplicates(docs).collect()
+    filled = [r for r in kept if (r.text or "").split()]
+    assert len(filled) == len(component) and {r.doc_id for r in filled} == component
+    assert len(kept) - len(filled) == sum(not (t or "").split() for _, t in pairs)
+
+
 @pytest.mark.parametrize("text", ["two words", "three short words", "four words in all", "one", " "])
 def test_shingles_of_a_lone_short_text(text):
     data = np.frombuffer(text.encode(), np.uint8)
