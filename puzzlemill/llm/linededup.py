@@ -13,7 +13,7 @@ stay.
   sizes differ little (length filter), what can still follow the shared token
   must suffice (positional filter), and the parities of their tokens' hashes
   cannot differ in more bits than the sets differ in tokens (bitmap filter).
-* A class first meets the earliest class of some of its prefix tokens.  Whoever
+* A class first meets the earliest classes of its prefix tokens.  Whoever
   matches is decided and asks no more, so groups of many like lines do not meet
   pair by pair; the others meet all that the filters leave.  Similarity is
   verified on whole sets.
@@ -36,8 +36,8 @@ from .common import ID_BYTES, MOST_BYTES, SPACE, SPACE_RUN, let, number_equal, s
 BUCKETS = 1 << 18
 #: Hash bits that a bitmap's second word is used beyond.
 LONG_LINE = 80
-#: One of so many prefix tokens is used to find the earliest classes, one of each of so many kinds.
-HUBS, KINDS = 1, 8
+#: Prefix tokens are dealt in so many parts to find the earliest classes, one of each of so many kinds.
+HUBS, KINDS = 2, 8
 
 
 def _texts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -154,14 +154,19 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
         found.drop()
         return out.rows
 
-    # a class and the earliest ones of its token, one of each kind by hash, for some of the tokens
-    some = prefixes(asked).where(F.pmod("token", F.lit(hubs)) == 0) if hubs > 1 else prefixes(asked)
+    # a class and the earliest ones of its token, one of each kind by hash, for one part of the tokens after the other
     one = F.struct("doc", "lo", "ni", "odd", "odd2")
     kind = F.pmod(F.xxhash64("doc", "lo"), F.lit(KINDS))
-    hub = some.groupBy("token").agg(F.count("*").alias("many"), *[F.min(F.when(kind == k, one)).alias(f"hub{k}") for k in range(KINDS)]).where("many > 1")
-    hub = hub.select("token", F.explode(F.array_compact(F.array(*[f"hub{k}" for k in range(KINDS)]))).alias("hub"))
-    star = some.join(hub.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")]), "token")
-    decided = verified(star.where(_later("", "b_") & viable("", "b_")).select(*pair).distinct())
+    decided = asked.select("doc", "lo").limit(0)
+    for part in range(min(hubs, HUBS)):
+        some = prefixes(asked).where(F.pmod("token", F.lit(hubs)) == part)
+        hub = some.groupBy("token").agg(F.count("*").alias("many"), *[F.min(F.when(kind == k, one)).alias(f"hub{k}") for k in range(KINDS)]).where("many > 1")
+        hub = hub.select("token", F.explode(F.array_compact(F.array(*[f"hub{k}" for k in range(KINDS)]))).alias("hub"))
+        hub = hub.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")])
+        if part:
+            some = prefixes(asked.join(decided, ["doc", "lo"], "left_anti")).where(F.pmod("token", F.lit(hubs)) == part)
+        star = some.join(hub, "token").where(_later("", "b_") & viable("", "b_")).select(*pair).distinct()
+        decided = decided.unionByName(verified(star))
     rows = prefixes(asked.join(decided.withColumn("known", F.lit(1).cast("bigint")), ["doc", "lo"], "left").fillna(0, "known"), "known")
     # both sides read one exchange; the decided ones are left out by a condition on both
     other = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in rows.columns[1:]])
