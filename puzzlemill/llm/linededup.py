@@ -59,14 +59,21 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> Column:
     word = texts.select(F.explode(F.split(F.lower("text"), SPACE_RUN)).alias("word"))
     counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("c"))
     size = F.floor(F.log2("c") * 4).cast("int")
-    packed = counts.groupBy(F.shiftright("bucket", 9)).agg(F.collect_list(F.struct("bucket", F.least(size, F.lit(127)).alias("size"))).alias("sizes"))
+    # a few hundred texts of bucket:magnitude, small on the driver: ``buckets`` numbers, whatever the input
+    pair = F.concat_ws(":", F.col("bucket").cast("string"), F.least(size, F.lit(127)).cast("string"))
+    packed = counts.groupBy(F.shiftright("bucket", 9)).agg(F.array_join(F.collect_list(pair), ",").alias("sizes"))
     sizes = bytearray(buckets)
-    for row in packed.collect():  # ``buckets`` numbers, whatever the input
-        for bucket, s in row.sizes:
-            sizes[bucket] = s
+    for row in packed.collect():
+        for bucket, s in (x.split(":") for x in row.sizes.split(",")):
+            sizes[int(bucket)] = int(s)
     return F.split(F.lit(",".join(map(str, sizes))), ",").cast("array<tinyint>")
 
 
+def word_set(line: Column) -> Column:
+    """The hashes of the distinct words of a line."""
+    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
+
+
 def line_tokens(line: Column, rare: Column, buckets: int = BUCKETS) -> Column:
     """The distinct words of a line, rarest first: the magnitude in the first byte, then the hash."""
 
@@ -138,7 +145,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
         there = texts.join(F.broadcast(spots) if small(ids) else spots, ["doc", "key"])
         there = there.select("doc", "key", "nos", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no").cast("bigint")))
         lo = F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key"))
-        return there.select("doc", lo.alias("lo"), line_tokens(F.col("line"), rare, buckets).alias("tokens"))
+        return there.select("doc", lo.alias("lo"), word_set(F.col("line")).alias("tokens"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The lines (doc, lo) of pairs that reach the similarity."""

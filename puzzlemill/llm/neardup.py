@@ -49,6 +49,8 @@ BASE = 1.001
 SLACK = 0.22
 #: Registers of the longer sketches, their slack (over five standard errors), members and shingles of a block.
 LONG, LONG_SLACK, MEMBERS, ITEMS = 320, 0.12, 1000, 1 << 20
+#: Edges in a file of a table whose size is known.
+EDGES = 200_000
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32)
@@ -234,15 +236,17 @@ def components(edges: DataFrame) -> DataFrame:
     number never grows, and no neighbourhood is gathered: only minima are.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    parts = math.ceil(edges.count() / EDGES) or 1
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = F.least(F.col("a"), F.min("b").over(W.partitionBy("a")))
         large = both.select("a", "b", low.alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = F.min("b").over(W.partitionBy("a"))
-        small = large.select("a", "b", low.alias("m"))
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        edges = checkpoint(small.where("a <> b").distinct())
+        near = large.select("a", "b", low.alias("m"))
+        near = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
+        # as many files as the edges, whose number is known, need
+        edges = checkpoint(near.where("a <> b").distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -294,7 +298,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = look(pairs)
-        tried = done if tried is None else checkpoint(tried.unionByName(done))
+        tried = done if tried is None else tried.unionByName(done)
         joined = not done.where("ok").isEmpty()
         if joined:
             labels = components(tried.where("ok"))
