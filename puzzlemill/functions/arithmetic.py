@@ -13,6 +13,7 @@ from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,9 +87,23 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "value", "used_numbers", "expression", "error"])
 
 
+def _whole(numbers: object, target: object) -> bool:
+    """Neither is null, nor is any of the numbers."""
+    return numbers is not None and not pd.isna(target) and not any(pd.isna(x) for x in numbers)
+
+
 @F.pandas_udf(CHECK)
-def check_expression(expression: pd.Series, numbers: pd.Series, target: pd.Series) -> pd.DataFrame:
-    return _frame([check(e, [int(x) for x in n], int(t)) for e, n, t in zip(expression, numbers, target, strict=True)])
+def _check_text(expression: pd.Series, numbers: pd.Series, target: pd.Series) -> pd.DataFrame:
+    bad = lambda e: (False, None, [], e, "invalid_puzzle")
+    return _frame([check(e, [int(x) for x in n], int(t)) if _whole(n, t) else bad(e) for e, n, t in zip(expression, numbers, target, strict=True)])
+
+
+def check_expression(expression: Column | str, numbers: Column | str, target: Column | str) -> Column:
+    """Check an expression; a puzzle without numbers or target, or with a null number, is an ``invalid_puzzle``.
+
+    Targets go as text, since a batch of whole numbers with a null would turn to floats.
+    """
+    return _check_text(expression, numbers, F.col(target).cast("string") if isinstance(target, str) else target.cast("string"))
 
 
 @F.pandas_udf(T.LongType())
@@ -111,47 +126,92 @@ def expression_depth(expression: pd.Series) -> pd.Series:
     return expression.map(lambda x: depth(x) if x is not None else 0)
 
 
+def _missing(goal: Fraction, x: Fraction) -> Iterator[tuple[Fraction, str]]:
+    """(y, form) of all y that make the goal together with x: {0} stands for x, {1} for y."""
+    yield goal - x, "({0}+{1})"
+    yield goal + x, "({1}-{0})"
+    yield x - goal, "({0}-{1})"
+    if x:
+        yield goal / x, "({0}*{1})"
+        yield goal * x, "({1}/{0})"
+        if goal:
+            yield x / goal, "({0}/{1})"
+
+
+class _Puzzle:
+    """Expressions over subsets of the numbers, which bit masks name."""
+
+    #: Of so many numbers all values are tabulated; more are asked for one value.
+    TABULATED = 3
+
+    def __init__(self, numbers: tuple[int, ...]):
+        self.numbers = numbers
+        self.tables: dict[int, dict[Fraction, str]] = {1 << i: {Fraction(n): str(n)} for i, n in enumerate(numbers)}
+        self.answers: dict[tuple[int, Fraction], str | None] = {}
+
+    @staticmethod
+    def parts(mask: int) -> list[int]:
+        """Proper subsets of at most half the numbers, small ones first."""
+        subset, found = (mask - 1) & mask, []
+        while subset:
+            if 2 * subset.bit_count() <= mask.bit_count():
+                found.append(subset)
+            subset = (subset - 1) & mask
+        return sorted(found, key=lambda m: (m.bit_count(), m))
+
+    def table(self, mask: int) -> dict[Fraction, str]:
+        """Every value that uses all numbers of the mask, each with the first expression found."""
+        if mask not in self.tables:
+            out: dict[Fraction, str] = {}
+            for part in self.parts(mask):
+                for x, p in self.table(part).items():
+                    for y, q in self.table(mask ^ part).items():
+                        made = [(x + y, f"({p}+{q})"), (x - y, f"({p}-{q})"), (y - x, f"({q}-{p})"), (x * y, f"({p}*{q})")]
+                        made += [(x / y, f"({p}/{q})")] if y else []
+                        made += [(y / x, f"({q}/{p})")] if x else []
+                        for value, text in made:
+                            out.setdefault(value, text)
+            self.tables[mask] = out
+        return self.tables[mask]
+
+    def reach(self, mask: int, goal: Fraction) -> str | None:
+        """An expression of all numbers of the mask with the value ``goal``."""
+        if mask.bit_count() <= self.TABULATED:
+            return self.table(mask).get(goal)
+        if (mask, goal) not in self.answers:
+            self.answers[mask, goal] = self._search(mask, goal)
+        return self.answers[mask, goal]
+
+    def _search(self, mask: int, goal: Fraction) -> str | None:
+        for part in self.parts(mask):
+            rest = mask ^ part
+            for x, p in self.table(part).items():
+                if not x and not goal:  # nothing times whatever is left
+                    return f"({p}*({'+'.join(str(n) for i, n in enumerate(self.numbers) if rest >> i & 1)}))"
+                for y, form in _missing(goal, x):
+                    if (q := self.reach(rest, y)) is not None:
+                        return form.format(p, q)
+        return None
+
+
 def solve(numbers: tuple[int, ...], target: int) -> str | None:
-    """First expression that reaches the target, by depth-first search in a fixed order.
+    """An expression of all numbers that reaches the target; None if there is none.
 
-    The order makes results reproducible: pairs by position, then the six ways to
-    combine a pair, the result standing last.
+    Some operation stands on top, and one of its sides holds at most half of the
+    numbers.  So each small subset's values are tried as that side, and the rest
+    of the numbers is asked for the value that is then missing.  Subsets go by
+    size and place, so results are reproducible.
     """
-    goal = Fraction(target)
-    dead: set[tuple[Fraction, ...]] = set()
-
-    def ways(a: tuple[Fraction, str], b: tuple[Fraction, str]) -> Iterator[tuple[Fraction, str]]:
-        (x, p), (y, q) = a, b
-        yield x + y, f"({p}+{q})"
-        yield x - y, f"({p}-{q})"
-        yield y - x, f"({q}-{p})"
-        yield x * y, f"({p}*{q})"
-        if y:
-            yield x / y, f"({p}/{q})"
-        if x:
-            yield y / x, f"({q}/{p})"
-
-    def search(items: list[tuple[Fraction, str]]) -> str | None:
-        if len(items) == 1:
-            return items[0][1] if items[0][0] == goal else None
-        seen = tuple(sorted(v for v, _ in items))
-        if seen in dead:
-            return None
-        for i, a in enumerate(items):
-            for j in range(i + 1, len(items)):
-                rest = [x for k, x in enumerate(items) if k != i and k != j]
-                for made in ways(a, items[j]):
-                    if (hit := search([*rest, made])) is not None:
-                        return hit
-        dead.add(seen)
-        return None
-
-    return search([(Fraction(n), str(n)) for n in numbers]) if numbers else None
+    return _Puzzle(numbers).reach((1 << len(numbers)) - 1, Fraction(target)) if numbers else None
 
 
 @F.pandas_udf(T.StringType())
-def solve_puzzle(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Solution of (numbers, target); a worker solves each sorted puzzle once."""
+def _solve_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     known = lru_cache(200_000)(solve)
     for numbers, target in batches:
-        yield pd.Series([known(tuple(sorted(int(x) for x in n)), int(t)) for n, t in zip(numbers, target, strict=True)], dtype=object)
+        yield pd.Series([known(tuple(sorted(int(x) for x in n)), int(t)) if _whole(n, t) else None for n, t in zip(numbers, target, strict=True)], dtype=object)
+
+
+def solve_puzzle(numbers: Column | str, target: Column | str) -> Column:
+    """Solution of (numbers, target), null if there is none or the puzzle has nulls; a worker solves each sorted puzzle once."""
+    return _solve_batches(numbers, F.col(target).cast("string") if isinstance(target, str) else target.cast("string"))

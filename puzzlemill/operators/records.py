@@ -29,10 +29,11 @@ def normalize(df: DataFrame, kind: str, position: str, prefer: str = "nums") ->
 
 
 def solve(df: DataFrame) -> DataFrame:
-    """Adds gold_expr, null if there is none.  Each distinct puzzle is solved once."""
+    """Adds gold_expr, null if there is none.  Each distinct puzzle is solved once; no row is lost, also not those with nulls."""
     keyed = df.withColumn("_sorted", F.array_sort("numbers"))
-    puzzles = keyed.select("_sorted", "target").distinct().withColumn("gold_expr", solve_puzzle("_sorted", "target"))
-    return keyed.join(puzzles, ["_sorted", "target"]).drop("_sorted")
+    puzzles = keyed.select(F.col("_sorted").alias("_s"), F.col("target").alias("_t")).distinct().withColumn("gold_expr", solve_puzzle("_s", "_t"))
+    same = keyed["_sorted"].eqNullSafe(puzzles["_s"]) & keyed["target"].eqNullSafe(puzzles["_t"])
+    return keyed.join(puzzles, same, "left").drop("_sorted", "_s", "_t")
 
 
 def source_records(solved: DataFrame) -> DataFrame:
@@ -42,7 +43,10 @@ def source_records(solved: DataFrame) -> DataFrame:
 
 
 def unsolved_records(solved: DataFrame) -> DataFrame:
-    return solved.where("gold_expr is null").select("id", "source_index", "numbers", "target", F.lit("no_solution").alias("reason"))
+    """The other rows, each with a reason."""
+    whole = F.col("target").isNotNull() & (F.size(F.coalesce("numbers", F.array().cast("array<bigint>"))) > 0) & ~F.exists("numbers", lambda x: x.isNull())
+    reason = F.when(F.coalesce(whole, F.lit(False)), "no_solution").otherwise("invalid_puzzle")
+    return solved.where("gold_expr is null").select("id", "source_index", "numbers", "target", reason.alias("reason"))
 
 
 def validated(df: DataFrame, response: str = "response", compat: str = "v2") -> DataFrame:
