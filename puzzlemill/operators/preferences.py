@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.answers import stable_key
+from .checks import require
+from .steps import cut
 
 # Categories by priority, their shares, and the two routes.
 QUOTAS = {"wrong_value": 0.70, "number_mismatch": 0.15, "invalid_expression": 0.10, "missing_answer_tag": 0.03, "truncated": 0.02}
@@ -36,11 +39,17 @@ def category_quotas(target: int) -> dict[str, int]:
     return out
 
 
-def route_order(df: DataFrame, seed: int) -> DataFrame:
-    """Adds the place of each candidate when routes take turns, stable order within a route."""
-    key = stable_key(seed, F.col("source_id"), F.col("candidate_id"))
-    w = W.partitionBy("rejected_category", "generation_route").orderBy("_key", "source_id", "candidate_id")
-    return df.withColumn("_key", key).withColumn("_turn", F.row_number().over(w))
+def route_order(df: DataFrame, need: int) -> DataFrame:
+    """The first ``need`` candidates when routes take turns, in stable order (``_key``) within a route.
+
+    Of each route a top-k is enough, so no route's rows meet in one task.
+    """
+    order = ["_key", "source_id", "candidate_id"]
+    heads = [df.where(F.col("generation_route") == r).orderBy(*order).limit(need) for r in ROUTES]
+    other = df.where(~F.coalesce(F.col("generation_route").isin(ROUTES), F.lit(False))).orderBy("generation_route", *order).limit(need)
+    few = reduce(DataFrame.unionByName, [*heads, other])
+    turn = F.row_number().over(W.partitionBy("generation_route").orderBy(*order))
+    return few.withColumn("_turn", turn).orderBy("_turn", "generation_route").limit(need).drop("_turn")
 
 
 def select_pairs(candidates: DataFrame, chosen: DataFrame, target: int, seed: int, unique_source: bool = False) -> DataFrame:
@@ -49,22 +58,24 @@ def select_pairs(candidates: DataFrame, chosen: DataFrame, target: int, seed: in
     A source that a category has used is not used by a later one.  As in the
     plan this follows, one category (and the backfill) may still take two
     candidates of one source; ``unique_source`` forbids that.  ``chosen`` has the
-    column id.  Five quotas are five bounded top-k steps.
+    column id.  Five quotas are five bounded top-k steps over a pool that is
+    written, so candidates are made once.
     """
     known = chosen.select(F.col("id").alias("source_id")).distinct()
     pool = candidates.where(F.col("rejected_category").isin(CATEGORIES)).join(known, "source_id", "left_semi")
+    pool = pool.withColumn("_key", stable_key(seed, F.col("source_id"), F.col("candidate_id")))
+    pool = cut(pool)
     if unique_source:
-        best = W.partitionBy("source_id").orderBy(category_rank(F.col("rejected_category")), stable_key(seed, F.col("source_id"), F.col("candidate_id")))
+        best = W.partitionBy("source_id").orderBy(category_rank(F.col("rejected_category")), "_key")
         pool = pool.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best")
     picked: DataFrame | None = None
     for name, need in category_quotas(target).items():
         free = pool.where(F.col("rejected_category") == name)
         if picked is not None:
             free = free.join(picked.select("source_id").distinct(), "source_id", "left_anti")
-        taken = route_order(free, seed).orderBy("_turn", "generation_route").limit(need).drop("_turn")
+        taken = cut(route_order(free, need))
         picked = taken if picked is None else picked.unionByName(taken)
     rest = pool.join(picked.select("source_id").distinct(), "source_id", "left_anti")
-    rest = rest.withColumn("_key", stable_key(seed, F.col("source_id"), F.col("candidate_id")))
     order = [F.col("_late"), category_rank(F.col("rejected_category")), F.col("_key")]
     both = picked.withColumn("_late", F.lit(0)).unionByName(rest.withColumn("_late", F.lit(1)))
     return both.orderBy(*order).limit(target).drop("_late", "_key")
@@ -102,13 +113,43 @@ def route_budgets(shares: dict[str, float], budget: int, most: int) -> dict[str,
 
 
 def route_requests(rows: DataFrame, shares: dict[str, float], target: int, oversample: float, n_rows: int, position: str = "source_index") -> DataFrame:
-    """v1 requests: rows in order, each with the routes whose budget still lasts."""
+    """v1 requests: rows in order, each with the routes whose budget still lasts.
+
+    A route asks each row once, so rows beyond the largest budget cannot be
+    reached: a top-k of the whole table, and only its rows are numbered.
+    """
     on = [r for r, s in shares.items() if s > 0]
     budget = min(n_rows * len(on), math.ceil(target * oversample))
     limits = route_budgets(shares, budget, n_rows)
-    routes = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r"), F.lit(limits.get(r, 0)).alias("n")) for i, r in enumerate(on)]), lambda x: F.col(position) < x["n"])
-    out = rows.withColumn("_r", F.explode(routes)).withColumn("generation_route", F.col("_r.r"))
-    return out.orderBy(position, "_r.i").limit(budget).drop("_r")
+    first = rows.orderBy(position).limit(max(limits.values(), default=0))
+    first = first.withColumn("_at", F.row_number().over(W.orderBy(position)) - 1)
+    routes = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r"), F.lit(limits.get(r, 0)).alias("n")) for i, r in enumerate(on)]), lambda x: F.col("_at") < x["n"])
+    out = first.withColumn("_r", F.explode(routes)).withColumn("generation_route", F.col("_r.r"))
+    return out.orderBy("_at", "_r.i").limit(budget).drop("_r", "_at")
+
+
+def pair_records(pairs: DataFrame, chosen: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Whole preference records of selected pairs (source_id, candidate_id).
+
+    ``chosen`` gives prompt and response by id, ``candidates`` the rejected text;
+    a pair whose source is no chosen row, or whose texts are empty or equal, fails.
+    """
+    good = chosen.select(F.col("id").alias("source_id"), "prompt", F.col("response").alias("chosen"))
+    bad = candidates.select("source_id", "candidate_id", "rejected")
+    rows = pairs.drop("prompt", "chosen", "rejected").join(good, "source_id", "left").join(bad, ["source_id", "candidate_id"], "left")
+    filled = [F.coalesce(F.length(F.btrim(c)) > 0, F.lit(False)) for c in ("prompt", "chosen", "rejected")]
+    rows = require(rows, filled[0] & filled[1] & filled[2], "a pair has an empty prompt, chosen or rejected text")
+    rows = require(rows, F.col("chosen") != F.col("rejected"), "a pair's chosen and rejected texts are equal")
+    provenance = F.struct("source_id", "candidate_id", F.lit("preference").alias("stage"))
+    return rows.select("prompt", "chosen", "rejected", "rejected_category", "generation_route", provenance.alias("provenance"))
+
+
+def require_correct(chosen: DataFrame) -> DataFrame:
+    """Chosen rows, failing on one whose response does not solve its puzzle."""
+    from .records import validated
+
+    checked = validated(chosen.drop("validation"))
+    return require(checked, F.col("validation.ok"), "a chosen response is not correct").drop("validation")
 
 
 def pair_report(pairs: DataFrame, target: int, wrong_share: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,8 +69,10 @@ def accept_all(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cut_at_target(df: DataFrame, target: int, position: str = "position") -> DataFrame:
     """Rows up to the one that completes ``target`` correct rows; all rows if none does.
 
-    The cutoff is a top-k and a maximum, one row to join; nothing is sorted globally.
+    The cutoff is a top-k and a maximum, one row to join; nothing is sorted
+    globally, and the rows, which both read, are kept.
     """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     reached = df.where("ok").orderBy(position).limit(target).agg(F.count("*").alias("_n"), F.max(position).alias("_last"))
     reached = reached.select(F.when(F.col("_n") == target, F.col("_last")).alias("_last"))
     last = reached.select("_last").scalar()

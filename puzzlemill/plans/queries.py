@@ -66,7 +66,7 @@ def bucket_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.counts(_bucketed(spark, sf_dir), "bucket_key")
 
 
-@query(_with("SELECT count(*) AS puzzles, count(*) AS solved, 0 AS wrong FROM puzzles WHERE len(numbers) <= 4"))
+@query(_with("SELECT count(*) AS puzzles, count(*) AS solved, 0 AS wrong FROM puzzles"))
 def solved_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every puzzle has a solution, and it checks."""
     p = puzzles(spark, sf_dir)
@@ -205,8 +205,8 @@ def rft_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("SELECT id, k AS source_index, error IS NULL AS ok FROM puzzles WHERE k <= coalesce((SELECT CASE WHEN count(*) = 300 THEN max(k) END FROM (SELECT k FROM puzzles WHERE error IS NULL ORDER BY k LIMIT 300)), 9223372036854775807)"))
 def teacher_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.validated(puzzles(spark, sf_dir)).withColumn("ok", F.col("validation.ok"))
-    return rollouts.cut_at_target(rows, 300, "source_index").select("id", "source_index", "ok")
+    rows = records.validated(puzzles(spark, sf_dir)).select("id", "source_index", F.col("validation.ok").alias("ok"))
+    return rollouts.cut_at_target(rows, 300, "source_index")
 
 
 @query(_with("SELECT id, CAST(('0x' || substr(sha256('42|teacher|' || id || '|' || r), 1, 8)) AS BIGINT) AS request_seed, r AS rollout_index FROM puzzles, (VALUES (0), (1)) v(r)"))
@@ -281,12 +281,7 @@ def dpo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with("SELECT k, route AS generation_route FROM (SELECT *, row_number() OVER (ORDER BY k) - 1 AS spot FROM puzzles), (VALUES ('forced_wrong', 0), ('high_temp', 1)) v(route, i) WHERE spot < 150 ORDER BY spot, i LIMIT 300"))
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = puzzles(spark, sf_dir)
-    first = p.orderBy("k").limit(400)  # budgets reach no further
-    from pyspark.sql import Window as W
-
-    numbered = first.withColumn("at", F.row_number().over(W.orderBy("k")) - 1)
-    return preferences.route_requests(numbered, {"forced_wrong": 0.5, "high_temp": 0.5}, 150, 2.0, 10**9, "at").select("k", "generation_route")
+    return preferences.route_requests(puzzles(spark, sf_dir), {"forced_wrong": 0.5, "high_temp": 0.5}, 150, 2.0, 10**9, "k").select("k", "generation_route")
 
 
 # --- rewards and metrics -------------------------------------------------------------
@@ -364,7 +359,7 @@ def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("data_source", F.get("prompt.role", F.lit(0)).alias("role"), "reward_model.style", A.numbers_text(F.col("reward_model.ground_truth.numbers")).alias("numbers"), "reward_model.ground_truth.target", "extra_info.id", "extra_info.source_index", "extra_info.bucket.bucket_key")
 
 
-@query(_with(f"{BUCKETS} SELECT 'numbers' AS violation, 0 AS n WHERE false"))
+@query(_with("SELECT 'gold_expr' AS violation, count(*) AS n FROM puzzles WHERE kind = 7 HAVING count(*) > 0"))
 def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _bucketed(spark, sf_dir).withColumn("prompt", A.solution_prompt(F.col("numbers"), F.col("target"))).withColumnRenamed("gold", "gold_expr")
     return records.violation_report(records.source_violations(p.select("id", "source_index", "numbers", "target", "gold_expr", "prompt", "bucket")))
