@@ -37,7 +37,7 @@ BUCKETS = 1 << 18
 #: Hash bits that a bitmap's second word is used beyond.
 LONG_LINE = 80
 #: Prefix tokens are dealt in so many parts to find the earliest classes, one of each of so many kinds.
-HUBS, KINDS = 2, 8
+HUBS, KINDS = 4, 8
 
 
 def _texts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -54,19 +54,15 @@ def _lines(texts: DataFrame) -> DataFrame:
     return d.where(F.length("line") > 0).select("doc", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key")).alias("lo"), "line")
 
 
-def rarity(texts: DataFrame, buckets: int = BUCKETS) -> Column:
-    """A constant array: for each bucket of words the magnitude of its count over all texts."""
+def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row with one array: for each bucket of words the magnitude of its count over all texts."""
     word = texts.select(F.explode(F.split(F.lower("text"), SPACE_RUN)).alias("word"))
-    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("c"))
-    size = F.floor(F.log2("c") * 4).cast("int")
-    # a few hundred texts of bucket:magnitude, small on the driver: ``buckets`` numbers, whatever the input
-    pair = F.concat_ws(":", F.col("bucket").cast("string"), F.least(size, F.lit(127)).cast("string"))
-    packed = counts.groupBy(F.shiftright("bucket", 9)).agg(F.array_join(F.collect_list(pair), ",").alias("sizes"))
-    sizes = bytearray(buckets)
-    for row in packed.collect():
-        for bucket, s in (x.split(":") for x in row.sizes.split(",")):
-            sizes[int(bucket)] = int(s)
-    return F.split(F.lit(",".join(map(str, sizes))), ",").cast("array<tinyint>")
+    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("c"))
+    size = F.least(F.floor(F.log2("c") * 4), F.lit(127))
+    every = counts.select("bucket", size.alias("size")).unionByName(texts.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("size")))
+    every = every.groupBy("bucket").agg(F.max("size").cast("tinyint").alias("size"))
+    # ``buckets`` small numbers, whatever the input
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
 def word_set(line: Column) -> Column:
@@ -108,8 +104,10 @@ def _later(a: str, b: str) -> Column:
 def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, hubs: int = HUBS) -> DataFrame:
     """(doc, key, nos): for each text the numbers of the lines to remove.  Takes (doc_id, text)."""
     texts = _texts(docs)
-    rare = rarity(texts, buckets)
-    sets = _lines(texts).select("doc", "lo", line_tokens(F.col("line"), rare, buckets).alias("tokens")).select("doc", "lo", F.explode(F.array("tokens")).alias("tokens"))
+    rare = written(rarity(texts, buckets))
+    # the array is a scalar that plans name and do not hold; the optimizer sets it into the tokens' expression
+    spelled = _lines(texts).withColumn("rare", rare.rows.select("sizes").scalar())
+    sets = spelled.select("doc", "lo", line_tokens(F.col("line"), F.col("rare"), buckets).alias("tokens")).select("doc", "lo", F.explode(F.array("tokens")).alias("tokens"))
     n = F.size("tokens")
     first = F.slice("tokens", F.lit(1), F.greatest(n - F.ceil(n * percent / 100).cast("int") + 1, F.lit(0)))
     wide = F.when(n > LONG_LINE, _parities(F.col("tokens"), half=True)).otherwise(F.lit(0).cast("bigint"))
@@ -170,7 +168,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
         hub = some.groupBy("token").agg(F.count("*").alias("many"), *[F.min(F.when(kind == k, one)).alias(f"hub{k}") for k in range(KINDS)]).where("many > 1")
         hub = hub.select("token", F.explode(F.array_compact(F.array(*[f"hub{k}" for k in range(KINDS)]))).alias("hub"))
         hub = hub.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")])
-        if part:
+        if part:  # whoever is decided asks no more
             some = prefixes(asked.join(decided, ["doc", "lo"], "left_anti")).where(F.pmod("token", F.lit(hubs)) == part)
         star = some.join(hub, "token").where(_later("", "b_") & viable("", "b_")).select(*pair).distinct()
         decided = decided.unionByName(verified(star))
@@ -186,7 +184,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
     out = out.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).cast("int").alias("no"))
     out = written(out.groupBy("doc", "key").agg(F.collect_set("no").alias("nos")))  # lines of one text
-    for table in (lines, classes, marked):
+    for table in (rare, lines, classes, marked):
         table.drop()
     return out.rows
 
