@@ -147,7 +147,7 @@ def bucket(numbers: Column, expression: Column, depth: Column) -> Column:
 
 
 def rule_reward(format_ok: Column, correct: Column, format_reward: float = FORMAT_REWARD, answer_reward: float = ANSWER_REWARD) -> Column:
-    return F.when(format_ok, format_reward).otherwise(0.0) + F.when(correct, answer_reward).otherwise(0.0)
+    return F.when(format_ok, F.lit(float(format_reward))).otherwise(0.0) + F.when(correct, F.lit(float(answer_reward))).otherwise(0.0)
 
 
 def length_penalty(tokens: Column, cap: int, start: int, most: float) -> Column:

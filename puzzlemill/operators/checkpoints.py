@@ -16,9 +16,10 @@ def best_checkpoint(ledger: DataFrame, *by: str) -> DataFrame:
     return (ledger.groupBy(*by) if by else ledger.groupBy()).agg(best, F.max("step").alias("final_step")).select(*by, "best.step", "best.accuracy", "best.format_rate", "final_step")
 
 
-def latest_checkpoint(names: DataFrame, column: str = "name") -> DataFrame:
-    """The name with the largest trailing number."""
-    return names.agg(F.max_by(column, F.struct(checkpoint_number(F.col(column)), F.col(column))).alias(column))
+def latest_checkpoint(names: DataFrame, column: str = "name", *by: str) -> DataFrame:
+    """The name with the largest trailing number; by run if named."""
+    best = F.max_by(column, F.struct(checkpoint_number(F.col(column)), F.col(column))).alias(column)
+    return names.groupBy(*by).agg(best) if by else names.agg(best)
 
 
 def match_steps(dumps: DataFrame, checkpoints: DataFrame) -> DataFrame:

@@ -40,33 +40,56 @@ def _groups(rows: DataFrame, size: int, position: str) -> DataFrame:
     return g.withColumn("std", F.when(F.col("low") == F.col("high"), 0.0).otherwise(F.col("std")))
 
 
-def rollout_metrics(rows: DataFrame, size: int, position: str = "position", correct: float = 1.2, formed: float = 0.2, diagnosed: bool = True) -> DataFrame:
+def rollout_metrics(rows: DataFrame, size: int, position: str = "position", correct: float = 1.2, formed: float = 0.2, diagnosed: bool = True, entropy: float | None = None) -> DataFrame:
     """One row of metrics over rollouts in contiguous groups of ``size``.
 
     Accuracy and format rate come from answer_correct and format_ok if the rows
-    are ``diagnosed``, else from the rewards.
+    are ``diagnosed``, else from the rewards.  ``kl`` is 0, since no reference
+    model takes part; ``entropy`` is passed on if it is known.  One pass makes
+    the groups, another one sums them up, so rows are read once.
     """
     right, shaped = (F.col("answer_correct"), F.col("format_ok")) if diagnosed else (F.col("reward") >= correct, F.col("reward") >= formed)
-    spread = F.when(F.min("reward") == F.max("reward"), 0.0).otherwise(F.coalesce(F.stddev_pop("reward"), F.lit(0.0)))
-    whole = rows.agg(
-        F.count("*").alias("count"),
-        F.coalesce(F.avg("reward"), F.lit(0.0)).alias("reward"),
-        spread.alias("reward_std"),
-        _share(right).alias("accuracy"),
-        _share(shaped).alias("format_rate"),
-        F.coalesce(F.avg("response_length"), F.lit(0.0)).alias("avg_response_length"),
-        F.coalesce(F.max("response_length"), F.lit(0)).cast("bigint").alias("max_response_length"),
-        _total(F.col("truncated")).alias("truncated_count"),
-        _share(F.col("truncated")).alias("truncated_rate"),
+    groups = rows.groupBy(F.floor(F.col(position) / size).alias("group")).agg(
+        F.count("*").alias("n"),
+        F.count("reward").alias("rewarded"),
+        F.min("reward").alias("low"),
+        F.max("reward").alias("high"),
+        F.sum("reward").alias("sum"),
+        F.avg("reward").alias("mean"),
+        F.var_pop("reward").alias("var"),
+        _total(right).alias("right"),
+        _total(shaped).alias("shaped"),
+        F.sum("response_length").alias("length"),
+        F.count("response_length").alias("lengths"),
+        F.max("response_length").alias("longest"),
+        _total(F.col("truncated")).alias("cut"),
     )
-    by_group = _groups(rows, size, position).agg(
-        F.coalesce(F.avg("std"), F.lit(0.0)).alias("group_reward_std"),
-        _share(F.col("std") == 0).alias("frac_reward_zero_std"),
+    std = F.when(F.col("low") == F.col("high"), 0.0).otherwise(F.sqrt("var"))
+    over = lambda a, b: F.coalesce(F.try_divide(F.sum(a).cast("double"), F.sum(b)), F.lit(0.0))
+    # the spread of all: mean of the squares, which groups give, less the square of the mean
+    total = F.sum("rewarded")
+    square = F.sum(F.col("var") * F.col("rewarded") + F.col("mean") * F.col("mean") * F.col("rewarded"))
+    mean = F.try_divide(F.sum("sum"), total)
+    spread = F.when(F.min("low") == F.max("high"), 0.0).otherwise(F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(square, total) - mean * mean)), F.lit(0.0)))
+    cells = [
+        F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+        F.coalesce(mean, F.lit(0.0)).alias("reward"),
+        spread.alias("reward_std"),
+        over("right", "n").alias("accuracy"),
+        over("shaped", "n").alias("format_rate"),
+        over("length", "lengths").alias("avg_response_length"),
+        F.coalesce(F.max("longest"), F.lit(0)).cast("bigint").alias("max_response_length"),
+        F.coalesce(F.sum("cut"), F.lit(0)).alias("truncated_count"),
+        over("cut", "n").alias("truncated_rate"),
+        F.coalesce(F.avg(std), F.lit(0.0)).alias("group_reward_std"),
+        _share(std == 0).alias("frac_reward_zero_std"),
         _share(F.col("low") >= correct).alias("all_correct_group_fraction"),
         _share(F.col("high") <= 0).alias("all_wrong_group_fraction"),
-    )
-    # two one-row results side by side
-    return whole.withColumn("_k", F.lit(1)).join(by_group.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        F.lit(0.0).alias("kl"),
+    ]
+    if entropy is not None:
+        cells.append(F.lit(float(entropy)).alias("entropy"))
+    return groups.agg(*cells)
 
 
 def group_summary(rows: DataFrame, size: int, position: str = "position") -> DataFrame:

@@ -144,14 +144,6 @@ def pair_records(pairs: DataFrame, chosen: DataFrame, candidates: DataFrame) ->
     return rows.select("prompt", "chosen", "rejected", "rejected_category", "generation_route", provenance.alias("provenance"))
 
 
-def require_correct(chosen: DataFrame) -> DataFrame:
-    """Chosen rows, failing on one whose response does not solve its puzzle."""
-    from .records import validated
-
-    checked = validated(chosen.drop("validation"))
-    return require(checked, F.col("validation.ok"), "a chosen response is not correct").drop("validation")
-
-
 def pair_report(pairs: DataFrame, target: int, wrong_share: float) -> DataFrame:
     """One row of counts and shares of the selected pairs."""
     one = pairs.agg(

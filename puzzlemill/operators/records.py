@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions.arithmetic import check_expression, expression_depth, solve_puzzle
+from .checks import require
 from .preferences import CATEGORIES, ROUTES
 
 
@@ -23,8 +24,31 @@ def number_list(df: DataFrame, prefer: str = "nums") -> Column:
     return F.coalesce(*parts)
 
 
-def normalize(df: DataFrame, kind: str, position: str, prefer: str = "nums") -> DataFrame:
-    """(id, source_index, numbers, target) of raw rows with a 1-based position."""
+def require_numbers(df: DataFrame, prefer: str = "nums") -> DataFrame:
+    """``df``, failing on rows whose numbers are no filled list of whole numbers from 0, or whose target is none.
+
+    JSON text must be such a list as it stands; fractions are refused, not cut.
+    """
+    kinds = dict(df.dtypes)
+    for name in [n for n in (prefer, "numbers" if prefer == "nums" else "nums") if n in kinds]:
+        value = F.col(name)
+        if kinds[name] == "string":
+            ok = F.rlike(value, F.lit(r"^\s*\[\s*\d+(\s*,\s*\d+)*\s*\]\s*$"))
+        else:
+            whole = lambda x: F.coalesce((x >= 0) & (x == F.floor(x)), F.lit(False))
+            ok = (F.size(value) > 0) & F.forall(value, whole)
+        df = require(df, value.isNull() | F.coalesce(ok, F.lit(False)), f"{name} must be a filled list of whole numbers")
+    df = require(df, F.coalesce(F.size(number_list(df, prefer)) > 0, F.lit(False)), "a row has no numbers")
+    target = F.col("target")
+    return require(df, F.coalesce((target >= 0) & (target == F.floor(target)), F.lit(False)), "target must be a whole number")
+
+
+def normalize(df: DataFrame, kind: str, position: str, prefer: str = "nums", strict: bool = False) -> DataFrame:
+    """(id, source_index, numbers, target) of raw rows with a 1-based position.
+
+    ``strict`` fails on numbers and targets that are none; else they become null and the row unsolved.
+    """
+    df = require_numbers(df, prefer) if strict else df
     return df.select(A.row_id(kind, F.col(position)).alias("id"), F.col(position).cast("bigint").alias("source_index"), number_list(df, prefer).alias("numbers"), F.col("target").cast("bigint").alias("target"))
 
 
@@ -84,8 +108,45 @@ def training_record(source: DataFrame, data_source: str = "countdown", ability:
     )
 
 
+def teacher_payload(df: DataFrame, generator: str, response: str = "response") -> DataFrame:
+    """Rows with a stripped response, its validation and where it came from."""
+    rows = validated(df.withColumn(response, F.regexp_replace(response, r"^\s+|\s+$", "")), response)
+    return rows.withColumn("provenance", F.struct(F.lit(generator).alias("generator"), F.lit("teacher").alias("stage"), F.lit(0).cast("bigint").alias("rollout_index")))
+
+
+def rule_scores(df: DataFrame, solution: str = "solution", known: str = "countdown") -> DataFrame:
+    """Adds ``score`` struct(score, format_ok, answer_correct, error, expression, value) to a trainer's rows.
+
+    Takes data_source and reward_model; rows of another source score 0 with an error of their own.
+    """
+    truth = F.col("reward_model.ground_truth")
+    rows = df.withColumn("_numbers", truth["numbers"]).withColumn("_target", truth["target"])
+    checked = validated(rows.withColumnsRenamed({c: f"_own_{c}" for c in ("numbers", "target", "validation") if c in rows.columns}).withColumnsRenamed({"_numbers": "numbers", "_target": "target"}), solution)
+    v, mine = F.col("validation"), F.col("data_source") == known
+    formed, right = v["expression"].isNotNull(), v["ok"]
+    score = F.struct(
+        F.when(mine, A.rule_reward(formed, right)).otherwise(0.0).alias("score"),
+        F.coalesce(mine & formed, F.lit(False)).alias("format_ok"),
+        F.coalesce(mine & right, F.lit(False)).alias("answer_correct"),
+        F.when(mine, v["error"]).otherwise("unsupported_data_source").alias("error"),
+        F.when(mine, v["expression"]).alias("expression"),
+        F.when(mine, v["value"]).alias("value"),
+    )
+    return checked.withColumn("score", score).drop("validation", "numbers", "target").withColumnsRenamed({f"_own_{c}": c for c in ("numbers", "target", "validation") if c in df.columns})
+
+
+def combined_rewards(df: DataFrame, cap: int, start: int, most: float, format_reward: float = A.FORMAT_REWARD, answer_reward: float = A.ANSWER_REWARD) -> DataFrame:
+    """v1: adds reward (form, answer and length together), format_ok and correct; takes completion, numbers, target, token_count."""
+    checked = validated(df.drop("validation"), "completion", "v1")
+    formed, right = F.col("validation.expression").isNotNull(), F.col("validation.ok")
+    reward = A.rule_reward(formed, right, format_reward, answer_reward) + A.length_penalty(F.col("token_count"), cap, start, most)
+    return checked.withColumn("reward", reward).withColumn("format_ok", formed).withColumn("correct", right).drop("validation")
+
+
 def preference_triple(pairs: DataFrame) -> DataFrame:
-    return pairs.select("prompt", "chosen", "rejected")
+    """(prompt, chosen, rejected), failing on an empty one."""
+    filled = [F.coalesce(F.length(F.btrim(c)) > 0, F.lit(False)) for c in ("prompt", "chosen", "rejected")]
+    return require(pairs, filled[0] & filled[1] & filled[2], "a pair has an empty text").select("prompt", "chosen", "rejected")
 
 
 def message_record(rows: DataFrame, with_answer: bool = False) -> DataFrame:
@@ -145,12 +206,17 @@ def pair_violations(rows: DataFrame) -> DataFrame:
 
 
 def training_violations(rows: DataFrame) -> DataFrame:
+    numbers = F.col("reward_model.ground_truth.numbers")
     rules = [
-        ("data_source", _filled("data_source")),
-        ("prompt", (F.size("prompt") > 0) & ~F.exists("prompt", lambda m: (F.length(m["role"]) == 0) | (F.length(m["content"]) == 0))),
+        ("data_source", F.col("data_source") == "countdown"),
+        ("ability", F.col("ability") == "math"),
+        ("prompt", (F.size("prompt") == 1) & ~F.exists("prompt", lambda m: (m["role"] != "user") | (F.length(m["content"]) == 0))),
         ("style", F.col("reward_model.style") == "rule"),
-        ("ground_truth", F.size("reward_model.ground_truth.numbers") > 0),
+        ("ground_truth", (F.size(numbers) > 0) & ~F.exists(numbers, lambda x: x.isNull() | (x < 0))),
+        ("target", F.col("reward_model.ground_truth.target") >= 0),
         ("id", _filled("extra_info.id")),
+        ("source_index", F.col("extra_info.source_index") >= 0),
+        ("bucket", F.length("extra_info.bucket.bucket_key") > 0),
     ]
     return rows.withColumn("violations", _violations(*rules))
 

@@ -61,6 +61,11 @@ def accept_rollouts(df: DataFrame, most: int = 2, source: str = "id", response:
     return ranked.where(F.col("ok") & (F.col("_rank") <= most)).drop("_rank"), rows.where("not ok")
 
 
+def every_record(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """All records of a collection, for uniqueness and prefix checks; a column that one side lacks is null."""
+    return accepted.unionByName(rejected, allowMissingColumns=True)
+
+
 def accept_all(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """v1: every correct rollout is accepted."""
     return df.where("ok"), df.where("not ok")

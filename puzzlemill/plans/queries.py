@@ -84,9 +84,12 @@ def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puzzles(spark, sf_dir).select("id", A.answer_text(r).alias("answer"), A.answer_text(r, "v1").alias("answer_v1"), A.has_answer(r).alias("has_answer"))
 
 
-@query("SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS answer FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS answer FROM conversations")
 def answer_extract_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", A.answer_text(F.col("text")).alias("answer"))
+    """Whole turns as answers, the odd ones followed by a tag that is never closed."""
+    after = F.when(F.col("turn") % 2 == 0, "").otherwise(" <answer> and")
+    tagged = F.concat(F.lit("So <answer>"), "text", F.lit(" </Answer>"), after)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", A.answer_text(tagged).alias("answer"))
 
 
 @query(_with("SELECT id, error IS NULL AS ok, value, expression, error FROM puzzles"))
@@ -161,9 +164,10 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT doc_id, text FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)")
+@query("SELECT min(doc_id) AS doc_id, text, lang FROM documents GROUP BY text, lang")
 def text_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return rollouts.first_texts(d, "lang", "text", "doc_id")
 
 
 @query("SELECT l_orderkey, n FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE n > 1")
@@ -215,13 +219,16 @@ def request_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", A.request_seed(42, "teacher", F.col("id"), F.col("rollout_index")).alias("request_seed"), "rollout_index")
 
 
-@query(_with("SELECT id, kind AS position_kind, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS shard FROM puzzles"))
+@query(_with(f"{ROLLS} SELECT id, r AS rollout_index, response, CASE WHEN k < ceil((SELECT max(k) + 1 FROM puzzles) / 2) THEN 0 ELSE 1 END AS shard FROM rolls"))
 def position_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests joined with their responses by position; completeness is checked on the way."""
+    """Requests in two shards and the responses of both, joined by position; completeness is checked on the way."""
     p = puzzles(spark, sf_dir)
-    asked = p.select("id", F.col("k").alias("position"), "kind")
-    told = p.select(F.col("k").alias("position"), "response", F.when(F.col("k") % 3 == 0, 0).otherwise(1).alias("shard"))
-    return rollouts.merge_responses(asked, told).select("id", F.col("kind").alias("position_kind"), "shard")
+    asked = rollouts.expand(p, 4).select("id", "rollout_index", "position")
+    told = _rolls(spark, sf_dir)
+    total = p.agg(F.max("k") + 1).scalar()
+    told = told.withColumn("shard", rollouts.shard(F.col("k"), total)).select("position", "response", "shard")
+    both = told.where("shard = 1").unionByName(told.where("shard = 0"))
+    return rollouts.merge_responses(asked, both).select("id", "rollout_index", "response", "shard")
 
 
 # --- preference pairs --------------------------------------------------------------
@@ -311,7 +318,7 @@ def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(f"""{REWARDS}, g AS (SELECT floor(k / 8) AS g, min(reward) AS lo, max(reward) AS hi, CASE WHEN min(reward) = max(reward) THEN 0 ELSE stddev_pop(reward) END AS s FROM rewards GROUP BY 1),
 one AS (SELECT count(*) AS count, round(avg(reward), 6) AS reward, round(stddev_pop(reward), 6) AS reward_std, round(avg(CAST(answer_correct AS INT)), 6) AS accuracy, round(avg(CAST(format_ok AS INT)), 6) AS format_rate, round(avg(response_length), 6) AS avg_response_length, max(response_length) AS max_response_length, CAST(sum(CAST(truncated AS INT)) AS BIGINT) AS truncated_count, round(avg(CAST(truncated AS INT)), 6) AS truncated_rate FROM rewards),
 two AS (SELECT round(avg(s), 6) AS group_reward_std, round(avg(CASE WHEN s = 0 THEN 1 ELSE 0 END), 6) AS frac_reward_zero_std, round(avg(CASE WHEN lo >= 1.2 THEN 1 ELSE 0 END), 6) AS all_correct_group_fraction, round(avg(CASE WHEN hi <= 0 THEN 1 ELSE 0 END), 6) AS all_wrong_group_fraction FROM g)
-SELECT * FROM one, two"""))
+SELECT *, CAST(0 AS DOUBLE) AS kl FROM one, two"""))
 def grpo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.rollout_metrics(_rewards(spark, sf_dir), 8)
     return out.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators.checks import require_none
+from .. import schemas
 
 
 def parquet_rows(spark: SparkSession, path: str, limit: int | None = None, position: str = "source_index") -> DataFrame:
@@ -19,12 +19,34 @@ def parquet_rows(spark: SparkSession, path: str, limit: int | None = None, posit
 
 
 def numbered(df: DataFrame, position: str = "source_index", first: int = 1) -> DataFrame:
-    """File order as a stored, 1-based column.
+    """Positions in the order of partitions, consecutive and from ``first``.
 
-    Positions need one pass to count partitions; use a stored column where there is one.
+    Row numbers within partitions are native ids; one pass counts the
+    partitions, whose small table is joined.  The plan must give the same
+    partitions twice, as scans do; use a stored column where there is one.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(position, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first)), schema)
+    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = counts.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_before"))  # one row for each partition
+    rows = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return rows.withColumn(position, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + first).drop("_id", "_part", "_before")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) with 1-based line numbers, however files are split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("_least"))
+    # one row for each split of a file
+    before = splits.withColumn("_before", F.sum("n").over(W.partitionBy("file").orderBy("_start")) - F.col("n")).drop("n")
+    return rows.join(F.broadcast(before), ["file", "_start"]).select("file", (F.col("_id") - F.col("_least") + F.col("_before") + 1).alias("line"), "value")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, value) of lines that are no object of the schema; blank lines are none."""
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = text_lines(spark, path).where(F.length(F.btrim("value")) > 0).withColumn("_row", parsed)
+    return rows.where(F.col("_row").isNull() | F.col("_row._bad").isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))).drop("_row")
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,10 +62,19 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 
 def json_lines_checked(spark: SparkSession, path: str, schema: str, validate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """JSON lines whose rows pass a validator that adds ``violations``."""
-    rows = json_lines(spark, path, schema)
-    require_none(validate(rows).where(F.size("violations") > 0), f"{path} has rows with violations")
-    return rows
+    """JSON lines that are objects of the schema and pass a validator that adds ``violations``; errors name the line."""
+    if wrong := bad_lines(spark, path, schema).orderBy("file", "line").first():
+        raise ValueError(f"{wrong.file}:{wrong.line}: not an object of the schema")
+    numbered_ = text_lines(spark, path).where(F.length(F.btrim("value")) > 0).select("file", "line", F.from_json("value", schema).alias("_row"))
+    rows = numbered_.select(F.col("file").alias("_file"), F.col("line").alias("_line"), "_row.*")
+    if wrong := validate(rows).where(F.size("violations") > 0).orderBy("_file", "_line").first():
+        raise ValueError(f"{wrong._file}:{wrong._line}: {', '.join(wrong.violations)}")
+    return json_lines(spark, path, schema)
+
+
+def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """JSON lines of a declared record type, by its name in ``schemas``."""
+    return json_lines(spark, path, getattr(schemas, kind.upper()))
 
 
 def step_files(spark: SparkSession, path: str, schema: str, pattern: str = r"step_(\d+)\.jsonl$") -> DataFrame:
@@ -61,7 +92,7 @@ def step_directories(path: str | Path, prefix: str = "global_step_") -> list[tup
 
 def eval_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(step, accuracy, format_rate) from a ledger of evaluations."""
-    rows = json_lines(spark, path, "step bigint, metrics struct<accuracy:double,format_rate:double>")
+    rows = records(spark, path, "ledger")
     return rows.select("step", "metrics.accuracy", "metrics.format_rate")
 
 
