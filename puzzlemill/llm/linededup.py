@@ -27,6 +27,8 @@ ignored, or kept as they are by ``drop_repeated_lines``, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,13 +150,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     def verified(pairs: DataFrame) -> DataFrame:
         """The lines (doc, lo) of pairs that reach the similarity."""
         found = written(pairs)
+        many = found.rows.count()
+        files = lambda rows, each: math.ceil(rows / each) or 1  # noqa: E731  (no more than the rows, whose number is known, need)
         ids = found.rows.select("doc", "lo").unionByName(found.rows.select(F.col("b_doc").alias("doc"), F.col("b_lo").alias("lo"))).distinct()
         # equal rows bring a set again
-        whole = written(sets_of(ids).dropDuplicates(["doc", "lo"]))
+        whole = written(sets_of(ids).dropDuplicates(["doc", "lo"]).coalesce(files(2 * many, 20_000)))
         other = whole.rows.select(F.col("doc").alias("b_doc"), F.col("lo").alias("b_lo"), F.col("tokens").alias("b_tokens"))
         both = found.rows.join(whole.rows, ["doc", "lo"]).join(other, ["b_doc", "b_lo"])
         common = F.size(F.array_intersect("tokens", "b_tokens"))
-        out = written(both.where(_reaches(common, F.size("tokens"), F.size("b_tokens"), percent)).select("doc", "lo").distinct())
+        good = both.where(_reaches(common, F.size("tokens"), F.size("b_tokens"), percent)).select("doc", "lo").distinct()
+        out = written(good.coalesce(files(many, 200_000)))
         whole.drop()
         found.drop()
         return out.rows
@@ -163,24 +168,26 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     one = F.struct("doc", "lo", "ni", "odd", "odd2")
     kind = F.pmod(F.xxhash64("doc", "lo"), F.lit(KINDS))
     decided = asked.select("doc", "lo").limit(0)
+    near = lambda ids: F.broadcast(ids) if small(ids) else ids
     for part in range(min(hubs, HUBS)):
         some = prefixes(asked).where(F.pmod("token", F.lit(hubs)) == part)
         hub = some.groupBy("token").agg(F.count("*").alias("many"), *[F.min(F.when(kind == k, one)).alias(f"hub{k}") for k in range(KINDS)]).where("many > 1")
         hub = hub.select("token", F.explode(F.array_compact(F.array(*[f"hub{k}" for k in range(KINDS)]))).alias("hub"))
         hub = hub.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")])
         if part:  # whoever is decided asks no more
-            some = prefixes(asked.join(decided, ["doc", "lo"], "left_anti")).where(F.pmod("token", F.lit(hubs)) == part)
+            some = prefixes(asked.join(near(decided), ["doc", "lo"], "left_anti")).where(F.pmod("token", F.lit(hubs)) == part)
         star = some.join(hub, "token").where(_later("", "b_") & viable("", "b_")).select(*pair).distinct()
         decided = decided.unionByName(verified(star))
-    rows = prefixes(asked.join(decided.withColumn("known", F.lit(1).cast("bigint")), ["doc", "lo"], "left").fillna(0, "known"), "known")
-    # both sides read one exchange; the decided ones are left out by a condition on both
-    other = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in rows.columns[1:]])
-    open_ = F.least("known", F.col("b_ni") + F.col("b_known")) == 0
-    rest = rows.join(other, "token").where(_later("", "b_") & viable("", "b_") & open_).select(*pair).distinct()
+    rows = prefixes(asked.join(near(decided.withColumn("known", F.lit(1).cast("bigint"))), ["doc", "lo"], "left").fillna(0, "known"), "known")
+    # both sides rename the same columns, so they read one exchange; the decided ones are left out by a condition on both
+    left, right = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns[1:]]) for x in "ab")
+    open_ = F.least("a_known", F.col("b_ni") + F.col("b_known")) == 0
+    rest = left.join(right, "token").where(_later("a_", "b_") & viable("a_", "b_") & open_)
+    rest = rest.select(F.col("a_doc").alias("doc"), F.col("a_lo").alias("lo"), "b_doc", "b_lo").distinct()
     gone = decided.unionByName(verified(rest))
     # the first line of a class that goes, and every other line of a class of several
     marked = written(classes.rows.join(gone.withColumn("gone", F.lit(True)), ["doc", "lo"], "left").where("gone or many > 1").select("sid", "n", "odd", "odd2", F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), "gone"))
-    out = lines.rows.drop("prefix").join(F.broadcast(marked.rows) if small(marked.rows) else marked.rows, ["sid", "n", "odd", "odd2"])
+    out = lines.rows.drop("prefix").join(near(marked.rows), ["sid", "n", "odd", "odd2"])
     out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
     out = out.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).cast("int").alias("no"))
     out = written(out.groupBy("doc", "key").agg(F.collect_set("no").alias("nos")))  # lines of one text
