@@ -605,12 +605,51 @@ def test_language_model(docs, pairs, empty, local):
     assert logbilinear.score_documents(empty, local=local).count() == 0
 
 
+def chain(rng, n, kinds=40):
+    """Symbols of which each is followed by the next one, but for a tenth."""
+    out = [0]
+    while len(out) < n:
+        out.append((out[-1] + 1) % kinds if rng.random() < 0.9 else int(rng.integers(kinds)))
+    return np.array(out)
+
+
 def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    cells = rng.integers(0, 3, (40, 40)).astype(float)
-    cells[np.arange(40), (np.arange(40) + 1) % 40] += 300  # each class is followed by the next
-    pair = logbilinear.train(cells, size=40)
-    assert np.exp(pair).sum(1) == pytest.approx(np.ones(40))
-    unigram = np.log((cells.sum(0) + 0.1) / (cells.sum() + 4))
-    assert (cells * pair).sum() > (cells * unigram).sum() * 0.6
-    assert logbilinear.train(np.zeros((8, 8)))[0] == pytest.approx(np.full(8, math.log(1 / 8)), abs=0.2)
+    walk = chain(rng, 60_000)
+    freq = (np.bincount(walk, minlength=40) + 0.1) / (len(walk) + 4)
+    begun = logbilinear.start(freq)
+    trainer = logbilinear.Trainer(freq, begun, 1)
+    before = [np.concatenate([np.zeros(k, int), walk[:-k]]) for k in (1, 2)]
+    for at in range(0, 50_000, 500):
+        for k in range(2):
+            trainer.learn(k, before[k][at : at + 500], walk[at : at + 500])
+    model = logbilinear.Model(None, None, None, None, freq, dict(trainer.p))
+    model.norms = logbilinear.normalisers(model.parts)
+    for k in range(2):  # in plain Python: scores of all symbols, normalised
+        model.parts[f"query{k}"] = model.parts["context"] @ model.parts[f"map{k}"]
+        score = [[float(q @ t) + float(b) for t, b in zip(model.parts["target"], model.parts["bias"][:, 0])] for q in model.parts[f"query{k}"]]
+        plain = [[math.exp(x - model.norms[k][i]) for x in row] for i, row in enumerate(score)]
+        assert [sum(row) for row in plain] == pytest.approx([1] * 40, abs=1e-4)
+        got = logbilinear.chances(model, walk[-50:], [b[-50:] for b in before]) if k else None
+    assert got[1] == pytest.approx([plain[i][j] for i, j in zip(before[1][-50:], walk[-50:])], rel=1e-3)
+    held = slice(50_000, None)
+    p = logbilinear.chances(model, walk[held], [b[held] for b in before])
+    mix = logbilinear.fit_mix(p)
+    assert mix.sum() == pytest.approx(1) and (mix >= 0).all() and mix[0] > 0.5
+    assert np.log(mix @ p).mean() > np.log(p[-1]).mean() + 1.5
+    assert (trainer.seen["target"] > 0).all() and begun["bias"][0, 0] == np.float32(math.log(freq[0]))
+
+
+def test_language_model_gains_on_held_out_texts(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in chain(rng, 120))) for i in range(1500)]
+    got = logbilinear.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").collect()
+    tokens = sum(r.n_tokens for r in got)
+    assert len(got) > 20 and sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.3
+
+
+def test_language_model_sequences_do_not_cross_texts():
+    text = np.array([0, 0, 2])
+    of, now, before = logbilinear._sequence(text, np.array([5, 6, 7]), 3)
+    assert of.tolist() == [0, 0, 0, 1, 2, 2] and now.tolist() == [5, 6, 0, 0, 7, 0]
+    assert [b.tolist() for b in before] == [[0, 5, 6, 0, 0, 7], [0, 0, 5, 0, 0, 0]]
