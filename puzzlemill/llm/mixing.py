@@ -101,16 +101,19 @@ def _fold(items: Column, seed: int) -> Column:
 
 
 def _round_tree(items: DataFrame, n: int, seed: int) -> DataFrame:
-    """(source, id, size, copies) for rows (source, id, size, base, p) with 0 < p < 1; about n rows."""
+    """(source, id, size, copies) for rows (source, id, size, base, p, nth) with 0 < p < 1; about n rows.
+
+    ``nth`` tells equal items apart, so that they too are dealt over all blocks.
+    """
     parts, level, blocks = [], 0, max(1, -(-n // BLOCK))
     while True:
-        block = F.pmod(F.xxhash64(F.lit(seed + level), "id", "size"), F.lit(blocks)).alias("block")
-        drawn = F.struct(unit(F.lit(seed - level), "id", "size").alias("u"), "id", "size", "base", "p")
+        block = F.pmod(F.xxhash64(F.lit(seed + level), "id", "size", "nth"), F.lit(blocks)).alias("block")
+        drawn = F.struct(unit(F.lit(seed - level), "id", "size", "nth").alias("u"), "id", "size", "base", "p")
         rows = items.groupBy("source", block).agg(F.sort_array(F.collect_list(drawn)).alias("items"))
         ordered = F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["base"].alias("base"), x["p"].alias("p")))
-        folded = checkpoint(rows.select("source", _fold(ordered, seed + level).alias("f")))  # read twice below
+        folded = checkpoint(rows.select("source", "block", _fold(ordered, seed + level).alias("f")))  # read twice below
         parts.append(folded.select("source", F.inline("f.done")))
-        items = folded.where("f.held is not null").select("source", "f.held.id", "f.held.size", "f.held.base", "f.held.p")
+        items = folded.where("f.held is not null").select("source", "f.held.id", "f.held.size", "f.held.base", "f.held.p", F.col("block").alias("nth"))
         if blocks == 1:  # the one residual of a source: to the nearer side
             parts.append(items.select("source", "id", "size", (F.col("base") + F.round("p")).cast("bigint").alias("copies")))
             break
@@ -128,7 +131,10 @@ def _rounded(rows: DataFrame, per_word: Column, cap: float, n: int, seed: int) -
     rows = rows.select("source", F.col("doc_id").alias("id"), "size", f.alias("f"))
     rows = rows.withColumn("base", base).withColumn("p", F.col("f") - F.col("base"))
     whole = rows.where(F.col("p") < TINY).select("source", "id", "size", F.col("base").alias("copies"))
-    return whole.unionByName(_round_tree(rows.where(F.col("p") >= TINY).select("source", "id", "size", "base", "p"), n, seed))
+    # equal rows are counted, which partial sums do, and numbered again
+    equal = rows.where(F.col("p") >= TINY).groupBy("source", "id", "size").agg(F.count("*").alias("rows"), F.first("base").alias("base"), F.first("p").alias("p"))
+    parted = equal.select("source", "id", "size", "base", "p", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("nth"))
+    return whole.unionByName(_round_tree(parted, n, seed))
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, big: float = 0.0025, seed: int = 7) -> DataFrame:
