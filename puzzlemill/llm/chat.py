@@ -9,7 +9,7 @@ the end marks that follow them; everything else is masked.
 A turn is rendered as ``<|im_start|>role`` newline text ``<|im_end|>`` newline.
 Marks inside a text are broken up, so that no text can forge a turn.
 
-Defined results: turns are ordered by number, then role and text, so ties and
+Defined results: turns of any length are rendered whole; they are ordered by number, then role and text, so ties and
 repeated rows have one order; null roles and texts are empty; a pair with one
 side only has an empty other side (and no common turns); equal sides have the
 whole conversation as prompt and empty completions; rows with a null pair are

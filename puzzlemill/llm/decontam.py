@@ -22,8 +22,8 @@ lowered until the bound is positive; items shorter than q are sought exactly.
 The benchmark is a stated query set: it is collected in blocks of at most
 ``BLOCK`` bytes, each of which is held against all texts in blocks.
 
-Defined results: null and empty texts and items match nothing; equal items each
-match; repeated rows are judged one by one; a null doc_id is a value like any
+Defined results: null and empty texts and items match nothing; texts of any
+length are searched whole; equal items each match; repeated rows are judged one by one; a null doc_id is a value like any
 other; items with a null item_id are ignored; without items no text is
 contaminated; empty tables give empty results; other columns are ignored.
 """

@@ -12,7 +12,7 @@ more specific rule.
 Besides the rules, three base phrases are sought as consecutive words, also
 across lines: ``mit license``, ``apache license``, ``general public license``.
 
-Defined results: null text is empty; texts without words have no places and
+Defined results: null text is empty; texts of any length are searched whole; texts without words have no places and
 score 0; equal rows have equal results; a null doc_id is a value like any
 other; empty tables give empty results; other columns are ignored.
 """

@@ -14,7 +14,8 @@ Documents larger than ``big`` of their source and than half its mean (at most
 1/``big`` of them exist) are rounded first; the words they miss or exceed are spread over the rest of
 the source, so one long document cannot move a source from its target.
 
-Defined results: null or blank text has size 0 and takes 0; a null source is a
+Defined results: null or blank text has size 0 and takes 0; texts of any length
+are counted whole; equal rows are numbered, so ties have an order; a null source is a
 source of its own, last in order; repeated rows are rounded one by one; a null
 doc_id is a value like any other; an empty table gives an empty result; other
 columns are ignored.

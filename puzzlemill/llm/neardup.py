@@ -22,7 +22,8 @@ With 24 bands of 4 registers a link at similarity 0.8 is missed by all bands
 with probability 3e-6, one at 0.9 with 6e-12.
 
 Defined results: null, empty and blank texts have an empty set, 0 shingles and
-a component of their own; equal rows are linked; rows with a null doc_id join
+a component of their own; texts of any length are cut in shingles whole; of
+equally central members of a bucket the larger signature is its hub; equal rows are linked; rows with a null doc_id join
 components but never name one (a component of such rows only has a null id and
 keeps them all); empty tables give empty results; other columns are ignored.
 """

@@ -12,7 +12,8 @@ its words if that is shorter than a chain, so different texts differ.
 that can be similar to it, so sets are partitioned by size, and within
 partitions they meet by the rarest signatures that a similar set must share.
 
-Defined results: null, empty and wordless texts have the empty fingerprint;
+Defined results: texts of any length are fingerprinted whole; null, empty and
+wordless texts have the empty fingerprint;
 two empty fingerprints have likeness 1, an empty and another one 0; equal texts
 have equal fingerprints; rows with a null doc_id have no neighbour (an empty
 text stands for it); rows with one doc_id follow each other by text; empty

@@ -22,7 +22,7 @@ A minimizer with more than ``wide`` distinct spans goes no further as a block:
 its distinct spans are cut into single windows, which meet by equality, so that
 no block is unbounded.
 
-Defined results: null text is empty; texts below ``min_bytes`` keep all bytes;
+Defined results: null text is empty; texts of any length are handled whole; texts below ``min_bytes`` keep all bytes;
 repeated rows are occurrences of their own (both are removed); a null doc_id is
 a value like any other; empty tables give empty results; other columns are
 ignored.
