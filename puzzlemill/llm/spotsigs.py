@@ -10,7 +10,8 @@ its words if that is shorter than a chain, so different texts differ.
 
 ``similar_pairs`` finds pairs of a whole table: a set's size bounds the sizes
 that can be similar to it, so sets are partitioned by size, and within
-partitions they meet by the rarest signatures that a similar set must share.
+partitions they meet by the first signatures, in the order of their hashes, of
+which a similar set must share one.
 
 Defined results: texts of any length are fingerprinted whole; null, empty and
 wordless texts have the empty fingerprint;
