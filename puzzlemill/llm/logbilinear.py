@@ -20,10 +20,11 @@ the first word) and the token within its symbol:
 * P(word | tail symbol) is the symbol's additively smoothed frequency, with the
   rest for words that training has not seen.
 
-Everything is counted and trained over all training texts; only the weights of
-the mixture are fitted on ``calibrate`` texts at most, the first by a hash of
-doc_id.  Counts of words that are not among the ``local`` most frequent are
-joined by the word's 64-bit hash.
+Everything is counted, trained and fitted over all training texts.  A token bears
+on the weights of the mixture only by how its probabilities compare, so tokens
+are counted by those ratios, in steps of an eighth power of two, and the weights
+fit the counts of all.  Counts of words that are not among the ``local`` most
+frequent are joined by the word's 64-bit hash.
 
 Defined results: null text is empty and has only its end; texts of any length
 are scored whole; a null doc_id counts as empty text for the held-out remainder
@@ -53,6 +54,8 @@ POSITIONS, SIZE, NOISE, BATCH = 2, 24, 192, 4096
 RATE = 0.05
 #: Rows of a parameter in one message, and how many messages are summed at once.
 ROWS, FAN = 2048, 64
+#: Ratios of probabilities are told apart in so many steps a power of two, up to so many powers.
+STEPS, POWERS = 8, 24
 END = -1  # its hash; a word that has this hash too would be counted with it
 LOCAL = 1 << 18
 FLUSH = 1 << 21
@@ -219,15 +222,36 @@ def chances(m: Model, now: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit_mix(p: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of a mixture by expectation and maximisation."""
+def fit_mix(p: np.ndarray, count: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Weights of a mixture by expectation and maximisation; each column of ``p`` counts so often, or once."""
     w = np.full(len(p), 1 / len(p))
     for _ in range(rounds):
         share = w[:, None] * p
-        w = (share / share.sum(0)).mean(1)
+        w = np.average(share / share.sum(0), axis=1, weights=count)
     return w
 
 
+def ratio_cells(p: np.ndarray) -> np.ndarray:
+    """A number for each column of ``p``: how its rows compare with the last one."""
+    side, most = 2 * POWERS * STEPS + 1, POWERS * STEPS
+    cell = np.zeros(p.shape[1], np.int64)
+    low = np.log2(np.maximum(p[-1], 1e-300))
+    for row in p[:-1]:
+        step = np.rint((np.log2(np.maximum(row, 1e-300)) - low) * STEPS)
+        cell = cell * side + np.clip(step, -most, most).astype(np.int64) + most
+    return cell
+
+
+def cell_ratios(cell: np.ndarray, rows: int = POSITIONS + 1) -> np.ndarray:
+    """Probabilities that compare as those of each cell do; the last row is 1."""
+    side, most = 2 * POWERS * STEPS + 1, POWERS * STEPS
+    out = np.ones((rows, len(cell)))
+    for k in range(rows - 2, -1, -1):
+        out[k] = 2.0 ** ((cell % side - most) / STEPS)
+        cell = cell // side
+    return out
+
+
 def _trained(model):
     """Parameters that a partition's texts have taught, in blocks of rows, times how often each was trained."""
 
@@ -290,16 +314,20 @@ def _averaged(learn: DataFrame, model: Model) -> dict[str, np.ndarray]:
     return parts
 
 
-def _mixed(model):
-    """Weights of the mixture that fit a partition's texts, and their tokens."""
+def _compared(model):
+    """The tokens of a partition's texts, counted by the cell of their ratios."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        count = np.zeros((2 * POWERS * STEPS + 1) ** POSITIONS, np.int64)
         for batch in batches:
             for i, j, data, at in pieces(batch.column(0)):
                 text, word, tail = _words(data, at)
                 _, now, before = _sequence(text, _known(m, word, tail)[1], j - i)
-                yield pa.RecordBatch.from_pydict({"n": [len(now)], "mix": [fit_mix(chances(m, now, before)).tolist()]})
+                cell, many = np.unique(ratio_cells(chances(m, now, before)), return_counts=True)
+                count[cell] += many
+        cell = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], names=["cell", "n"])
 
     return rows
 
@@ -350,7 +378,7 @@ def _most_frequent(counts: DataFrame, most: int):
     return counts.where(F.col("c") >= F.lit(least)).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
 
 
-def score_documents(docs: DataFrame, folds: int = 10, local: int = LOCAL, calibrate: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, local: int = LOCAL) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``."""
     spark = docs.sparkSession
     d = pick(docs, doc_id="bigint", text="string")
@@ -381,9 +409,9 @@ def score_documents(docs: DataFrame, folds: int = 10, local: int = LOCAL, calibr
     model.parts = _averaged(learn, model)
     model.norms = normalisers(model.parts)
     model.parts |= {f"query{k}": model.parts["context"] @ model.parts[f"map{k}"] for k in range(POSITIONS)}
-    few = d.where(~F.col("held_out")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate).select("text")
-    fits = few.mapInArrow(_mixed(spark.sparkContext.broadcast(model)), "n bigint, mix array<double>").toPandas()
-    model.mix = np.average(np.stack(fits["mix"]), axis=0, weights=fits["n"]) if len(fits) else np.eye(POSITIONS + 1)[-1]
+    # one row a cell, whatever the input; in order, so that sums agree
+    fits = learn.mapInArrow(_compared(spark.sparkContext.broadcast(model)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    model.mix = fit_mix(cell_ratios(fits["cell"].to_numpy(np.int64)), fits["n"].to_numpy(np.int64), rounds=300) if len(fits) else np.eye(POSITIONS + 1)[-1]
 
     rows = d.select(F.struct("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("key")).alias("row"), "text")
     scored = rows.mapInArrow(

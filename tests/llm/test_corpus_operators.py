@@ -648,6 +648,30 @@ def test_language_model_gains_on_held_out_texts(spark):
     assert len(got) > 20 and sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.3
 
 
+def test_language_model_fits_its_mixture_on_every_training_text(spark, monkeypatch):
+    fitted, fit = [], logbilinear.fit_mix
+
+    def seen(p, count=None, **more):
+        fitted.append((p, count, fit(p, count, **more)))
+        return fitted[-1][-1]
+
+    monkeypatch.setattr(logbilinear, "fit_mix", seen)
+    rows = [(i, f"w{i % 7} w{i % 7 + 1} w{i % 3}") for i in range(2600)]
+    got = logbilinear.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    learned = sum(r.n_tokens for r in got if not r.held_out)
+    assert len(got) == 2600 and [int(count.sum()) for _, count, _ in fitted] == [learned] == [got[0].train_tokens]
+
+
+def test_language_model_counts_by_ratio_as_it_would_fit_tokens():
+    rng = np.random.default_rng(2)
+    p = np.exp(rng.normal(-4, 3, (3, 20_000)))
+    p[0] *= 4
+    p[:, :10] *= np.array([[1e-40], [1], [1e30]])  # beyond all steps
+    cell, count = np.unique(logbilinear.ratio_cells(p), return_counts=True)
+    plain = logbilinear.fit_mix(p, rounds=300)
+    assert logbilinear.fit_mix(logbilinear.cell_ratios(cell), count, rounds=300) == pytest.approx(plain, abs=2e-3) and plain.max() > 0.4
+
+
 def test_language_model_sequences_do_not_cross_texts():
     text = np.array([0, 0, 2])
     of, now, before = logbilinear._sequence(text, np.array([5, 6, 7]), 3)
