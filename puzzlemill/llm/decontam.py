@@ -37,14 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import pick
 from .shingles import _FOLD, _IS_SPACE, pieces
-from .substrings import _mix, _powers
+from .substrings import _mix, _powers, lean
 
 GRAM = 10
 RATE = 0.06
 BLOCK = 4 << 20
+#: Bytes of texts that are searched at once, and shared q-grams of texts (of one at least) that are counted at once.
+CHUNK, SHARED = 1 << 18, 1 << 17
 #: Length of the parts of an item that count as leaks, and how far apart they begin.
 REGION, STEP = 64, 16
 _BITS = 22
@@ -64,7 +67,7 @@ def normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_hashes(text: np.ndarray, q: int) -> np.ndarray:
     if len(text) < q:
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(2 << 20, len(text)) + 1)
+    up, down = _powers(max(2 * CHUNK, len(text)) + 1)
     total = np.zeros(len(text) + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=total[1:])
     return _mix((total[q:] - total[:-q]) * down[: len(text) - q + 1])
@@ -174,6 +177,22 @@ def _with_regions(item: np.ndarray, at: np.ndarray, index: Index) -> tuple[np.nd
     return np.concatenate([np.arange(len(item)), post, ends]), np.concatenate(entry), np.concatenate([at, at[post] - nth * STEP, at[ends] - last[ends]])
 
 
+def _full_bands(hit: np.ndarray, slot: np.ndarray, of: np.ndarray, many: np.ndarray, index: Index) -> np.ndarray:
+    """(text, entry, band), in order, of the bands that reach their bound, from the ``many`` postings of each q-gram at ``hit``."""
+    post = np.repeat(index.begin[slot] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    posting, item, place_in = _with_regions(index.item[post], index.at[post], index)
+    diagonal, of = np.repeat(hit, many)[posting] - place_in, np.repeat(of, many)[posting]
+    step = index.edits[item] + 1
+    band = diagonal // step
+    # a band is two steps wide; a q-gram counts for its own step and the one before
+    key = np.stack([np.concatenate([of, of]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
+    order = np.lexsort(key[::-1])
+    key = key[:, order]
+    lead = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+    count = np.diff(np.append(lead, key.shape[1]))
+    return key[:, lead[count >= index.least[key[1, lead]]]]
+
+
 def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item_id, from, to, edits) for texts in ``data``: bytes of each text, one row for each band that verifies.
 
@@ -207,20 +226,14 @@ def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int
     inside = hit + index.q <= edge[of + 1]
     hit, slot, of = hit[inside], slot[inside], of[inside]
     many = index.begin[slot + 1] - index.begin[slot]
-    post = np.repeat(index.begin[slot] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    if not len(post):
-        return out
-    posting, item, place_in = _with_regions(index.item[post], index.at[post], index)
-    diagonal, of = np.repeat(hit, many)[posting] - place_in, np.repeat(of, many)[posting]
-    step = index.edits[item] + 1
-    band = diagonal // step
-    # a band is two steps wide; a q-gram counts for its own step and the one before
-    key = np.stack([np.concatenate([of, of]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
-    order = np.lexsort(key[::-1])
-    key = key[:, order]
-    lead = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-    count = np.diff(np.append(lead, key.shape[1]))
-    good = lead[count >= index.least[key[1, lead]]]
+    # whole texts at a time, in their order
+    last = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
+    total = np.append(0, np.cumsum(many))
+    bands, a = [np.zeros((3, 0), np.int64)], 0
+    while a < len(hit):
+        b = int(max(last[np.searchsorted(last, a, "right")], last[max(0, np.searchsorted(total[last], total[a] + SHARED, "right") - 1)]))
+        bands.append(_full_bands(hit[a:b], slot[a:b], of[a:b], many[a:b], index))
+        a = b
     held: dict[tuple[int, int], list[tuple[int, int]]] = {}  # where whole items stand
     parts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
 
@@ -231,7 +244,7 @@ def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int
         else:
             parts.setdefault((k, i), []).append((a, b, edits))
 
-    for k, i, b in key[:, good].T:  # of a text, whole items come first
+    for k, i, b in np.concatenate(bands, axis=1).T:  # of a text, whole items come first
         budget, m = int(index.edits[i]), len(index.texts[i])
         a = int(b * (budget + 1))
         lo, hi = max(int(edge[k]), a), min(int(edge[k + 1]), a + 2 * (budget + 1) + m + budget)
@@ -261,12 +274,16 @@ def find_items(data: np.ndarray, at: np.ndarray, index: Index) -> list[tuple[int
     return out
 
 
-def _searched(index):
+def _searched(index, *path: int):
+    """(row, spans) of each row; ``path`` leads to the text within the row, else it is the second column."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("edits", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, at in pieces(batch.column(1)):
+            text = batch.column(0 if path else 1)
+            for k in path:
+                text = text.field(k)
+            for i, j, data, at in pieces(text, CHUNK):
                 found: list[dict] = [{} for _ in range(j - i)]
                 for k, item, a, b, edits in find_items(data, at, index.value):
                     old = found[k].get((item, a))
@@ -275,7 +292,7 @@ def _searched(index):
                 spans = [sorted(x.values(), key=lambda s: (s["from"], s["to"], s["item_id"])) for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(spans, kind)], names=["row", "spans"])
 
-    return rows
+    return lean(rows)
 
 
 def item_blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
@@ -298,16 +315,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, rate: float
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    d = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = f"row {d.schema['row'].dataType.simpleString()}, spans array<struct<item_id:bigint,from:bigint,to:bigint,edits:bigint>>"
+    rows = docs.select(row.alias("row"))
+    at = next((k for k, f in enumerate(docs.schema) if f.name == "text" and f.dataType == StringType()), None)
+    # a row goes to Python once, with its text; only what is no string yet goes beside it
+    text = lambda of: [] if at is not None else [F.coalesce(F.col(of).cast("string"), F.lit("")).alias("text")]
+    schema = lambda df: f"row {df.schema['row'].dataType.simpleString()}, spans array<struct<item_id:bigint,from:bigint,to:bigint,edits:bigint>>"
     out = None
     for block in item_blocks(benchmark):
         index = spark.sparkContext.broadcast(build_index(block, q, rate))
         if out is None:
-            out = d.mapInArrow(_searched(index), schema)
+            out = rows.select("row", *text("row.text")).mapInArrow(_searched(index, *([] if at is None else [at])), schema(rows))
         else:  # further blocks search the same rows again and add their spans
-            more = out.select(F.struct("row", "spans").alias("row"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
-            more = more.mapInArrow(_searched(index), f"row {more.schema['row'].dataType.simpleString()}, spans array<struct<item_id:bigint,from:bigint,to:bigint,edits:bigint>>")
+            more = out.select(F.struct("row", "spans").alias("row"), *text("row.text"))
+            more = more.mapInArrow(_searched(index, *([] if at is None else [0, at])), schema(more))
             out = more.select("row.row", F.concat("row.spans", "spans").alias("spans"))
     return out
 

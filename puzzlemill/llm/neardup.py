@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, number_equal, pick, small, written
 from .shingles import pieces, shingle_sets
-from .substrings import _mix
+from .substrings import _mix, lean
 
 BANDS, ROWS = 24, 4
 BASE = 1.001
@@ -266,7 +266,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     ids = rows.select("node").distinct().join(classes.select("node", "doc_id", "twin"), "node").select("node", "doc_id", "twin")
     ids = checkpoint(ids)
     one = docs.join(F.broadcast(ids) if small(ids) else ids, "twin").select("node", "text")
-    sets = checkpoint(one.mapInArrow(_sets(width), "node bigint, items binary").dropDuplicates(["node"]))
+    sets = checkpoint(one.mapInArrow(lean(_sets(width)), "node bigint, items binary").dropDuplicates(["node"]))
     central = rows.groupBy("node").agg(F.sum("full").alias("pull"))
     rows = checkpoint(rows.select("node", "place", "band").join(central, "node"))
     regs = classes.select("node", "regs", "n")
@@ -274,14 +274,14 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     def exact(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-        return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(percent), "a bigint, b bigint, ok boolean"))
+        return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(lean(_verified(percent)), "a bigint, b bigint, ok boolean"))
 
     def check(pairs: DataFrame) -> DataFrame:
         left = regs.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
         right = regs.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
         size = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
         near = pairs.join(left, "a").join(right, "b").where(size).select("a", "b", "ra", "rb", "na", "nb")
-        return exact(near.mapInArrow(_likely(percent), "a bigint, b bigint"))
+        return exact(near.mapInArrow(lean(_likely(percent)), "a bigint, b bigint"))
 
     tried, labels = None, None
 
@@ -314,7 +314,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
             break
     rows = labelled(rows)
     if not rows.isEmpty():
-        long = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(_lengthened, "node bigint, regs binary, n bigint")
+        long = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "items").mapInArrow(lean(_lengthened), "node bigint, regs binary, n bigint")
         long = written(long)
         # a bucket's outsiders, in blocks, against all its members, in blocks of a bounded number of shingles too
         dealt = rows.select("place", "band", "node", "label").join(long.rows.select("node", "n"), "node")
@@ -348,7 +348,7 @@ def _classes(d: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """
     row = "row struct<doc_id:bigint,twin:bigint>, n bigint, node bigint, check bigint, regs binary"
     for seed in itertools.count():
-        signed = d.select(F.struct("doc_id", "twin").alias("row"), "text").mapInArrow(_sketches(width, seed), row)
+        signed = d.select(F.struct("doc_id", "twin").alias("row"), "text").mapInArrow(lean(_sketches(width, seed)), row)
         sketch = written(signed.select("row.doc_id", "row.twin", "n", "node", "check", "regs")).rows
         classes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "twin", "n", "regs")).alias("one"), (F.min("check") != F.max("check")).alias("mixed"))
         classes = checkpoint(classes.select("node", "low", "one.doc_id", "one.twin", "one.n", "one.regs", "mixed"))

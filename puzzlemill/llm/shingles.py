@@ -17,12 +17,12 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) for whole texts of about a chunk in all."""
     data, at = _buffers(column)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + chunk, "right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 

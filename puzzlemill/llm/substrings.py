@@ -30,8 +30,9 @@ ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give memory that is free, and the tables, back to the system."""
+    _tables.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # not with this C library
+        pass
+
+
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows`` in a worker that keeps nothing of the task before, nor anything while it waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return run
+
+
 def find_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchors of texts that lie one behind the other in ``data``.
 

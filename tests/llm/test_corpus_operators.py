@@ -412,6 +412,63 @@ def test_decontamination_edges(spark, docs, pairs, empty):
     assert not any(r.contaminated for r in decontam.contamination(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_holds_little_at_once():
+    """One copy of the texts, and tables of a small part of them."""
+    import random
+    import tracemalloc
+    import types
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = line(30)
+    index = decontam.build_index([(7, item)])
+    texts = [line(500) for _ in range(400)] + [None, f"{line(9)} {item}"]
+    row = pa.StructArray.from_arrays([pa.array(range(402)), pa.array(texts)], ["doc_id", "text"])
+    search = decontam._searched(types.SimpleNamespace(value=index), 1)
+    tracemalloc.start()
+    out = [x for b in search(iter([pa.RecordBatch.from_arrays([row], names=["row"])])) for x in b.column("spans").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 402 and [k for k, x in enumerate(out) if x] == [401] and peak < 48 << 20, peak >> 20
+
+
+def test_decontamination_counts_some_texts_at_a_time(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice("stone cloud window garden paper silver orange copper".split()) for _ in range(n))
+    index = decontam.build_index([(k, line(12)) for k in range(3)])
+    texts = [line(rng.randint(0, 20)) for _ in range(30)] + [index.texts[0].decode(), f"{line(3)} {index.texts[1].decode()}"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    found, full = [], decontam._full_bands
+    parts = []
+    monkeypatch.setattr(decontam, "_full_bands", lambda hit, *more: parts.append(len(hit)) or full(hit, *more))
+    for shared in (1, 300, 1 << 30):
+        monkeypatch.setattr(decontam, "SHARED", shared)
+        parts.clear()
+        found.append((decontam.find_items(data, at, index), len(parts)))
+    assert found[0][0] == found[1][0] == found[2][0] and {0, 1} <= {x[1] for x in found[0][0]}
+    assert found[0][1] > found[1][1] > found[2][1] == 1
+
+
+def test_decontamination_of_texts_that_are_no_strings(spark):
+    """Also with several blocks of items, which search the rows again."""
+    bench = spark.createDataFrame([(1, "12345678901"), (2, "silver orange copper")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, 12345678901), (2, 5), (3, None)], "doc_id long, text long")
+    assert sorted((r.row.doc_id, len(r.spans)) for r in decontam.find_leaks(docs, bench).collect()) == [(1, 1), (2, 0), (3, 0)]
+    docs = spark.createDataFrame([(1, "a silver orange copper"), (2, "12345678901 silver  orange copper"), (3, None)], "doc_id long, text string")
+    plain = decontam.item_blocks
+    try:
+        decontam.item_blocks = lambda b: ([x] for block in plain(b) for x in block)
+        got = {r.row.doc_id: sorted(s.item_id for s in r.spans) for r in decontam.find_leaks(docs, bench).collect()}
+    finally:
+        decontam.item_blocks = plain
+    assert got == {1: [2], 2: [1, 2], 3: []}
+
+
 def test_decontamination_finds_long_parts(spark, tmp_path):
     import random
 
