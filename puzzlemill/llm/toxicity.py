@@ -41,9 +41,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import checkpoint, pick
 from .shingles import pieces, span_hashes, word_spans
+from .substrings import lean
 
 WINDOW = 16
 STEM = 6
@@ -51,6 +53,8 @@ STEM = 6
 EVIDENCE = 20.0
 LEAST = 4
 SYMBOLS = 4096
+#: Bytes of texts that are judged at once.
+CHUNK = 1 << 18
 #: Labels up to this number may be broadcast; more are joined by a shuffle.
 SMALL = 500_000
 _APART = np.ones(256, bool)
@@ -167,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 5
     y = F.broadcast(y) if known <= SMALL else y
     learn = d.where(~F.col("held_out")).join(y, F.col("doc_id") == F.col("label_id"))
 
-    counts = learn.select((F.col("toxic") * 2 + F.col("half")).cast("bigint").alias("kind"), "text").mapInArrow(_frequencies, "symbol bigint, kind bigint, n bigint")
+    counts = learn.select((F.col("toxic") * 2 + F.col("half")).cast("bigint").alias("kind"), "text").mapInArrow(lean(_frequencies), "symbol bigint, kind bigint, n bigint")
     counts = counts.groupBy("symbol").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(4)])
     counts = checkpoint(counts.where(f"symbol = 0 or k0 + k1 >= {LEAST} or k2 + k3 >= {LEAST}"))
     total = counts.where("symbol = 0").first()
@@ -189,24 +193,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 5
     # half more than are asked for (a fifth is held out), by the hash that orders them, so that no more are measured
     bound = min(1.0, 1.5 * calibrate / max(known, 1))
     few = learn.where(F.xxhash64("doc_id") <= F.lit(int(bound * (2**64 - 1)) - 2**63)) if bound < 1 else learn
-    seen = few.select(row, "text", F.when(F.col("half") == 0, 2).otherwise(1).alias("which")).mapInArrow(_measured(pairs), "row struct<doc_id:bigint,toxic:int>, largest double, mean double")
+    seen = few.select(row, "text", F.when(F.col("half") == 0, 2).otherwise(1).alias("which")).mapInArrow(lean(_measured(pairs)), "row struct<doc_id:bigint,toxic:int>, largest double, mean double")
     seen = seen.orderBy(F.xxhash64("row.doc_id"), "row.doc_id").limit(calibrate).select("row.toxic", "largest", "mean").toPandas()
     w = fit_logistic(_shape(seen["largest"].to_numpy(), seen["mean"].to_numpy()), seen["toxic"].to_numpy(float))
     return Model(*pairs[0], w, share)
 
 
-def _judged(model: Model):
-    """(row, score, largest, mean) of each text."""
+def _judged(model: Model, of: int | None = None):
+    """(row, score, largest, mean) of each text: field ``of`` of the row, or else the second column."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = (_compressor(model.toxic), _compressor(model.ordinary))
         for batch in batches:
-            for i, j, data, at in pieces(batch.column(1)):
+            for i, j, data, at in pieces(batch.column(1) if of is None else batch.column(0).field(of), CHUNK):
                 symbols, edge = respell(data, at)
                 d = np.array([distances(symbols[edge[k] : edge[k + 1]], *how) for k in range(j - i)]).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.scores(d[:, 0], d[:, 1])), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["row", "score", "largest", "mean"])
 
-    return rows
+    return lean(rows)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 50_000) -> DataFrame:
@@ -220,6 +224,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, calibrate: int = 50_000) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic."""
     model = train(docs, labels, folds, calibrate)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = d.mapInArrow(_judged(model), f"row {d.schema['row'].dataType.simpleString()}, score double, largest double, mean double")
+    of = next((k for k, f in enumerate(docs.schema) if f.name == "text" and f.dataType == StringType()), None)
+    # a row goes to Python once, with its text; only what is no string yet goes beside it
+    text = [] if of is not None else [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text)
+    out = d.mapInArrow(_judged(model, of), f"row {d.schema['row'].dataType.simpleString()}, score double, largest double, mean double")
     return out.where("score < 0.5").select("row.*")

@@ -118,6 +118,19 @@ def test_toxicity_learns_from_the_other_folds(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
 
 
+def test_toxicity_judges_rows_by_the_text_within_them():
+    import types
+
+    import pyarrow as pa
+
+    model = types.SimpleNamespace(toxic=[3, 4], ordinary=[5, 6], scores=lambda a, b: a)
+    texts = ["stone cloud " * 40, None, "garden paper " * 60_000, ""]
+    row = pa.StructArray.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    beside = pa.RecordBatch.from_arrays([row, pa.array([t or "" for t in texts])], names=["row", "text"])
+    got = [[(x["row"]["doc_id"], x["largest"], x["mean"]) for b in toxicity._judged(model, *of)(iter([batch])) for x in b.to_pylist()] for batch, of in ((beside.select([0]), [1]), (beside, []))]
+    assert got[0] == got[1] and [x[0] for x in got[0]] == [0, 1, 2, 3]
+
+
 def test_toxicity_edges(spark, docs, pairs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     odd = spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 7), (None, 1), (3, 0)], "doc_id long, toxic int")
