@@ -9,14 +9,16 @@ stay.
 * Tokens are ordered by rarity: by the counts of all words of all texts, kept in
   buckets of a fixed number and on a scale of quarter powers of two, then by
   hash.  Any fixed order is exact; this one makes the prefixes rare.
-* Two similar sets share a token among the first of both (prefix filter), their
-  sizes differ little (length filter), what can still follow the shared token
-  must suffice (positional filter), and the parities of their tokens' hashes
-  cannot differ in more bits than the sets differ in tokens (bitmap filter).
-* A class first meets the earliest classes of its prefix tokens.  Whoever
-  matches is decided and asks no more, so groups of many like lines do not meet
-  pair by pair; the others meet all that the filters leave.  Similarity is
-  verified on whole sets.
+* Two similar sets share a token among the first of both (prefix filter; the
+  smaller set's prefix is the shorter one, since the larger one asks for more in
+  common), their sizes differ little (length filter), what can still follow the
+  shared token must suffice (positional filter), and the parities of their tokens'
+  hashes cannot differ in more bits than the sets differ in tokens (bitmap filter).
+* A class first meets two earlier classes, the first and the last before it, of
+  those with the same pair of tokens at the end of the prefix.  Whoever matches
+  is decided and asks no more, so groups of many like lines do not meet pair by
+  pair; the others meet all that the filters leave.  Similarity is verified on
+  whole sets.
 
 Defined results: null texts are empty and stay so; a text of any length is cut
 in lines and handled whole; of equal lines the first by (doc_id, number, hash of
@@ -28,18 +30,23 @@ ignored, or kept as they are by ``drop_repeated_lines``, whatever their names.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ID_BYTES, MOST_BYTES, SPACE, SPACE_RUN, let, number_equal, small, words, written
+from .common import ID_BYTES, MOST_BYTES, SPACE, let, number_equal, small, written
 
 #: Words are counted in so many buckets.
 BUCKETS = 1 << 18
 #: Hash bits that a bitmap's second word is used beyond.
 LONG_LINE = 80
-#: Prefix tokens are dealt in so many parts to find the earliest classes, one of each of so many kinds.
-HUBS, KINDS = 4, 8
+#: So many pairs of neighbours at the end of a prefix lead to earlier classes.
+HUBS = 2
+#: White space within lines besides the space.
+OTHER_SPACE = "\t\x0b\x0c\r"
 
 
 def _texts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -50,37 +57,48 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), late).alias("doc"), key.bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), text.alias("text"), *more)
 
 
+def _spaced(text: str) -> Column:
+    """A text with spaces for all its white space but line ends; most hold no other, which four searches tell."""
+    text = F.col(text)
+    other = reduce(or_, [text.contains(x) for x in OTHER_SPACE])
+    return F.when(other, F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(text)
+
+
 def _lines(texts: DataFrame) -> DataFrame:
-    """(doc, lo, line): ``lo`` holds the line's number and the text's key."""
-    d = texts.select("doc", "key", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    """(doc, lo, line): ``lo`` holds the line's number and the text's key; white space within lines is spaces."""
+    d = texts.select("doc", "key", F.posexplode(F.split(_spaced("text"), "\n", -1)).alias("no", "line"))
     return d.where(F.length("line") > 0).select("doc", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key")).alias("lo"), "line")
 
 
+def word_hashes(line: Column) -> Column:
+    """The hashes of the words of a line whose white space is spaces."""
+    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+
+
+def word_set(line: Column) -> Column:
+    """The hashes of the distinct words of a line whose white space is spaces."""
+    return F.array_distinct(word_hashes(line))
+
+
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with one array: for each bucket of words the magnitude of its count over all texts."""
-    word = texts.select(F.explode(F.split(F.lower("text"), SPACE_RUN)).alias("word"))
+    """One row with one array: for each bucket of words the magnitude of its count over all texts, in the first byte."""
+    word = _lines(texts).select(F.explode(F.split(F.lower("line"), " ")).alias("word"))
     counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("c"))
     size = F.least(F.floor(F.log2("c") * 4), F.lit(127))
     every = counts.select("bucket", size.alias("size")).unionByName(texts.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("size")))
-    every = every.groupBy("bucket").agg(F.max("size").cast("tinyint").alias("size"))
-    # ``buckets`` small numbers, whatever the input
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "size"))), lambda x: x["size"]).alias("sizes"))
-
-
-def word_set(line: Column) -> Column:
-    """The hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
+    every = every.groupBy("bucket").agg(F.shiftleft(F.max("size"), 56).alias("size"))
+    # ``buckets`` numbers, whatever the input
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
 def line_tokens(line: Column, rare: Column, buckets: int = BUCKETS) -> Column:
     """The distinct words of a line, rarest first: the magnitude in the first byte, then the hash."""
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("tinyint"))
-        return F.shiftleft(size.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def token(h: Column) -> Column:
+        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("bigint"))
+        return size.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), token)))
+    return F.sort_array(F.array_distinct(F.transform(word_hashes(line), token)))
 
 
 def _parities(tokens: Column, half: bool = False) -> Column:
@@ -107,36 +125,41 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     """(doc, key, nos): for each text the numbers of the lines to remove.  Takes (doc_id, text)."""
     texts = _texts(docs)
     rare = written(rarity(texts, buckets))
-    # the array is a scalar that plans name and do not hold; the optimizer sets it into the tokens' expression
+    # the array is a scalar that plans name and do not hold; the optimizer sets it into the tokens' expression, if that
+    # names it once (else each row would hold it)
     spelled = _lines(texts).withColumn("rare", rare.rows.select("sizes").scalar())
-    sets = spelled.select("doc", "lo", line_tokens(F.col("line"), F.col("rare"), buckets).alias("tokens")).select("doc", "lo", F.explode(F.array("tokens")).alias("tokens"))
+    sets = spelled.select("doc", "lo", line_tokens(F.col("line"), F.col("rare"), buckets).alias("tokens")).select("doc", "lo", F.explode(F.array("tokens")).alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
-    first = F.slice("tokens", F.lit(1), F.greatest(n - F.ceil(n * percent / 100).cast("int") + 1, F.lit(0)))
+    first = F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     wide = F.when(n > LONG_LINE, _parities(F.col("tokens"), half=True)).otherwise(F.lit(0).cast("bigint"))
-    lines = written(sets.select("doc", "lo", F.xxhash64("tokens").alias("sid"), n.alias("n"), first.alias("prefix"), _parities(F.col("tokens")).alias("odd"), wide.alias("odd2")))
+    lines = sets.select("doc", "lo", F.xxhash64("tokens").alias("sid"), n.alias("n"), first.alias("prefix"), _parities(F.col("tokens")).alias("odd"), wide.alias("odd2"))
     # the whole prefix tells classes apart besides the hash
-    classes = lines.rows.where("n > 0").groupBy("sid", "n", "prefix", "odd", "odd2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("many"))
-    classes = written(classes.select("sid", "n", "prefix", "odd", "odd2", "first.doc", "first.lo", "many"))
+    equal = W.partitionBy("sid", "n", "odd", "odd2", "prefix").orderBy("doc", "lo")
+    # lines of equal rows share a place and a rank; one of them stands for all
+    ranked = lines.repartition("sid").withColumn("again", F.rank().over(equal) > 1).withColumn("nth", F.row_number().over(equal)).where("again or nth = 1")
+    lines = written(ranked.select("doc", "lo", "n", "odd", "odd2", F.when(~F.col("again"), F.col("prefix")).alias("prefix"), "again"))
     # sets of one to three words are like equal ones alone (at 75 % and above)
     least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 30
-    asked = classes.rows.where(F.col("n") >= least)
+    asked = lines.rows.where(~F.col("again") & (F.col("n") >= least)).drop("again")
 
-    def prefixes(rows: DataFrame, *more: str) -> DataFrame:
-        rows = rows.select("doc", "lo", "n", "odd", "odd2", *more, F.posexplode("prefix").alias("i", "token"))
+    def rows_of(sets: DataFrame, tokens: Column, *more: str) -> DataFrame:
+        rows = sets.select("doc", "lo", "n", "odd", "odd2", *more, F.posexplode(tokens).alias("i", "token"))
         return rows.select("token", "doc", "lo", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i")).alias("ni"), "odd", "odd2", *more)
 
-    def viable(a: str, b: str) -> Column:
-        size = lambda x: F.shiftright(F.col(f"{x}ni"), 32).cast("int")
-        place = lambda x: F.col(f"{x}ni").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    size = lambda x: F.shiftright(F.col(f"{x}ni"), 32).cast("int")
+    place = lambda x: F.col(f"{x}ni").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+    def alike(a: str, b: str) -> Column:
         na, nb = size(a), size(b)
-        rest = F.least(na - place(a), nb - place(b))
         # the sets may differ in as many tokens as (na + nb) * (100 - percent) / (100 + percent)
         odd, odd2 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("odd", "odd2"))
         bits = F.when((na > LONG_LINE) & (nb > LONG_LINE), F.bit_count(odd.bitwiseXOR(odd2)) + F.bit_count(odd2)).otherwise(F.bit_count(odd))
         near = bits * (100 + percent) <= (na + nb) * (100 - percent)
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & _reaches(rest, na, nb, percent) & near
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & near
 
-    pair = [F.col(c) for c in ("doc", "lo", "b_doc", "b_lo")]
+    def viable(a: str, b: str) -> Column:
+        na, nb = size(a), size(b)
+        return alike(a, b) & _reaches(F.least(na - place(a), nb - place(b)), na, nb, percent)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """The whole sets of lines (doc, lo), made again from their texts."""
@@ -145,7 +168,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
         there = texts.join(F.broadcast(spots) if small(ids) else spots, ["doc", "key"])
         there = there.select("doc", "key", "nos", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no").cast("bigint")))
         lo = F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key"))
-        return there.select("doc", lo.alias("lo"), word_set(F.col("line")).alias("tokens"))
+        return there.select("doc", lo.alias("lo"), word_set(_spaced("line")).alias("tokens"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The lines (doc, lo) of pairs that reach the similarity."""
@@ -164,34 +187,32 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
         found.drop()
         return out.rows
 
-    # a class and the earliest ones of its token, one of each kind by hash, for one part of the tokens after the other
-    one = F.struct("doc", "lo", "ni", "odd", "odd2")
-    kind = F.pmod(F.xxhash64("doc", "lo"), F.lit(KINDS))
-    decided = asked.select("doc", "lo").limit(0)
+    # a class and the first and the last before it with the same two tokens at the end of the prefix
     near = lambda ids: F.broadcast(ids) if small(ids) else ids
-    for part in range(min(hubs, HUBS)):
-        some = prefixes(asked).where(F.pmod("token", F.lit(hubs)) == part)
-        hub = some.groupBy("token").agg(F.count("*").alias("many"), *[F.min(F.when(kind == k, one)).alias(f"hub{k}") for k in range(KINDS)]).where("many > 1")
-        hub = hub.select("token", F.explode(F.array_compact(F.array(*[f"hub{k}" for k in range(KINDS)]))).alias("hub"))
-        hub = hub.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")])
-        if part:  # whoever is decided asks no more
-            some = prefixes(asked.join(near(decided), ["doc", "lo"], "left_anti")).where(F.pmod("token", F.lit(hubs)) == part)
-        star = some.join(hub, "token").where(_later("", "b_") & viable("", "b_")).select(*pair).distinct()
-        decided = decided.unionByName(verified(star))
-    rows = prefixes(asked.join(near(decided.withColumn("known", F.lit(1).cast("bigint"))), ["doc", "lo"], "left").fillna(0, "known"), "known")
-    # both sides rename the same columns, so they read one exchange; the decided ones are left out by a condition on both
-    left, right = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns[1:]]) for x in "ab")
-    open_ = F.least("a_known", F.col("b_ni") + F.col("b_known")) == 0
-    rest = left.join(right, "token").where(_later("a_", "b_") & viable("a_", "b_") & open_)
-    rest = rest.select(F.col("a_doc").alias("doc"), F.col("a_lo").alias("lo"), "b_doc", "b_lo").distinct()
-    gone = decided.unionByName(verified(rest))
-    # the first line of a class that goes, and every other line of a class of several
-    marked = written(classes.rows.join(gone.withColumn("gone", F.lit(True)), ["doc", "lo"], "left").where("gone or many > 1").select("sid", "n", "odd", "odd2", F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), "gone"))
-    out = lines.rows.drop("prefix").join(near(marked.rows), ["sid", "n", "odd", "odd2"])
-    out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
+    decided = asked.select("doc", "lo").limit(0)
+    if hubs:
+        last = F.size("prefix")
+        ends = [F.xxhash64(F.get("prefix", last - 1 - k), F.get("prefix", last - 2 - k)) for k in range(min(hubs, HUBS))]
+        some = rows_of(asked, F.array(*ends))
+        one = F.struct("doc", "lo", "ni", "odd", "odd2")
+        order = W.partitionBy("token").orderBy("doc", "lo")
+        earlier = F.array(F.first(one).over(order), F.lag(one, 1).over(order))
+        star = some.withColumn("hubs", earlier).select("doc", "lo", "ni", "odd", "odd2", F.explode("hubs").alias("b"))
+        star = star.select("doc", "lo", "ni", "odd", "odd2", *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")])
+        decided = verified(star.where(_later("", "b_") & alike("", "b_")).select("doc", "lo", "b_doc", "b_lo").distinct())
+    # every pair of a set and one that is not larger, whose prefix may be shorter
+    known = asked.join(near(decided.withColumn("known", F.lit(1))), ["doc", "lo"], "left").fillna(0, "known")
+    short = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1)
+    left, right = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns[1:]]) for x, rows in (("a", rows_of(known, F.col("prefix"), "known")), ("b", rows_of(known, short, "known"))))
+    after = _later("a_", "b_")
+    rest = left.join(right, "token").where((size("a_") > size("b_")) | ((size("a_") == size("b_")) & after))
+    rest = rest.where(viable("a_", "b_")).where(F.when(after, F.col("a_known")).otherwise(F.col("b_known")) == 0)
+    turn = lambda a, b, to: [F.when(after, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{to}{c}") for c in ("doc", "lo")]
+    gone = decided.unionByName(verified(rest.select(*turn("a", "b", ""), *turn("b", "a", "b_")).distinct()))
+    out = lines.rows.where("again").select("doc", "lo").unionByName(gone)
     out = out.select("doc", F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.shiftright("lo", 32).cast("int").alias("no"))
     out = written(out.groupBy("doc", "key").agg(F.collect_set("no").alias("nos")))  # lines of one text
-    for table in (rare, lines, classes, marked):
+    for table in (rare, lines):
         table.drop()
     return out.rows
 

@@ -359,6 +359,28 @@ def test_line_dedup_near_lines(spark, buckets, hubs):
     assert {r.doc_id for r in rows if r.n_removed} == want
 
 
+def test_line_dedup_in_few_passes(spark, monkeypatch):
+    """Few steps over the tokens (before: 20 tables), equal to brute force without hubs and with mixed white space too."""
+    import random
+
+    rng = random.Random(8)
+    bank, out = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(4, 120))] for _ in range(20)], []
+    for i in range(120):
+        w = list(rng.choice(bank))
+        for _ in range(rng.randint(0, 4)):
+            w.insert(rng.randrange(len(w)), f"Z{rng.randint(0, 99)}") if rng.random() < 0.5 else w.pop(rng.randrange(len(w)))
+        out.append((i, "".join(x + rng.choice([" ", "  ", "\t", "\r", " \x0b", "\x0c "]) for x in w)))
+    sets = [plain_tokens(t) for _, t in out]
+    want = {i for i in range(120) if any(100 * len(sets[j] & sets[i]) >= 80 * len(sets[j] | sets[i]) for j in range(i))}
+    made, write = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df: made.append(1) or write(df))
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    for hubs in (linededup.HUBS, 0):
+        made.clear()
+        assert {r.doc_id for r in linededup.drop_repeated_lines(df, hubs=hubs).collect() if r.n_removed} == want
+        assert len(made) <= 9
+
+
 def test_line_dedup_short_lines(spark):
     texts = ["les.\nand ornd.\n\nfresh words", "Les.\n \nand  ornd.\nonce", "and\nornd.\n\nles. les.\nand ornd. les.", "les.\nand ornd.\none two three four", "ONE two three four\nonce"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
