@@ -35,7 +35,7 @@ likely; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, pick
-from .shingles import _FOLD, pieces, word_hashes, word_spans
+from .shingles import _FOLD, pieces, span_hashes, word_spans
 
 TAILS = 256
 HEADS, LEAST = 1 << 14, 10
 #: Tokens before that the model sees; size of vectors; noise words of a batch; pairs of a batch.
 POSITIONS, SIZE, NOISE, BATCH = 2, 24, 192, 4096
 RATE = 0.05
+#: So many tokens are worked on at once, which a core's cache holds.
+STRIP = 1024
 #: Rows of a parameter in one message, and how many messages are summed at once.
 ROWS, FAN = 2048, 64
 #: Ratios of probabilities are told apart in so many steps a power of two, up to so many powers.
@@ -74,6 +76,7 @@ class Model:
     parts: dict[str, np.ndarray] = field(default_factory=dict)  # of the log-bilinear model
     norms: np.ndarray | None = None  # log of each position's normaliser, by the symbol there
     mix: np.ndarray | None = None  # weights of the positions and of the frequencies
+    jump: np.ndarray | None = None  # where the hashes with each beginning start; made where it is used
 
 
 def tail_class(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -87,11 +90,18 @@ def tail_class(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return (code >> np.uint64(32)).astype(np.int64) % TAILS + 1
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, tail class) of each word."""
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """(text, hash) of each word, and a function that gives the tail classes of some."""
     text, first, last = word_spans(data, at)
-    _, value = word_hashes(data, at)
-    return text, value.view(np.int64), tail_class(data, first, last) if len(first) else np.zeros(0, np.int64)
+    value = span_hashes(data, first, last) if len(first) else np.zeros(0, np.uint64)
+    return text, value.view(np.int64), lambda some: tail_class(data, first[some], last[some]) if len(some) else np.zeros(0, np.int64)
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of ``rows`` by value, where in it each value begins)."""
+    order = np.argsort(rows, kind="stable" if rows.dtype == np.uint16 else None)  # 16 bits are sorted by radix
+    rows = rows[order]
+    return order, np.flatnonzero(np.concatenate([rows[:1] == rows[:1], rows[1:] != rows[:-1]]))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,21 +110,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> tuple[np.ndarray, ...]:
         word, tail, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(word, kind="stable")
-        word, tail, count = word[order], tail[order], count[order]
-        lead = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        return word[lead], tail[lead], np.add.reduceat(count, lead)
+        order, lead = _groups(word)
+        return word[order[lead]], np.minimum.reduceat(tail[order], lead), np.add.reduceat(count[order], lead)
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["h", "tail", "c"])
 
     for batch in batches:
         for i, j, data, at in pieces(batch.column(0)):
-            _, word, tail = _words(data, at)
-            own, where, count = np.unique(word, return_index=True, return_counts=True)
+            _, word, tails = _words(data, at)
+            order, lead = _groups(word)
+            where = order[lead]
             ends = [np.array([x]) for x in (END, 0, j - i)]
-            held.append(tuple(np.concatenate(x) for x in zip((own, tail[where], count), ends, strict=True)))
-            size += len(own)
+            held.append(tuple(np.concatenate(x) for x in zip((word[where], tails(where), np.diff(lead, append=len(word))), ends, strict=True)))
+            size += len(lead)
             if size > FLUSH:
                 held = [merged()]
                 size = len(held[0][0])
@@ -126,14 +135,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _known(model: Model, word: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(model: Model, word: np.ndarray) -> np.ndarray:
+    """The place of the first hash that is not below each word's; the last one's if there is none.
+
+    A search that begins where the hashes with the word's first bits do: few are left between.
+    """
+    hashes, bits = model.hashes, 20
+    if model.jump is None:
+        model.jump = np.searchsorted(hashes, (np.arange(1 << bits) - (1 << bits - 1)) << 64 - bits)
+    at = np.minimum(model.jump[(word >> 64 - bits) + (1 << bits - 1)], len(hashes) - 1)
+    left = np.flatnonzero(hashes[at] < word)
+    for _ in range(16):
+        left = left[at[left] < len(hashes) - 1]
+        if not len(left):
+            return at
+        at[left] += 1
+        left = left[hashes[at[left]] < word[left]]
+    at[left] = np.minimum(np.searchsorted(hashes, word[left]), len(hashes) - 1)
+    return at
+
+
+def _known(model: Model, word: np.ndarray, tails: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(count, symbol) of each word; count -1 where it isn't among the most frequent."""
     if not len(model.hashes) or not len(word):
-        return np.full(len(word), -1), tail
-    at = np.minimum(np.searchsorted(model.hashes, word), len(model.hashes) - 1)
+        return np.full(len(word), -1), tails(np.arange(len(word)))
+    at = _places(model, word)
     hit = model.hashes[at] == word
-    own = np.where(hit, model.symbols[at], -1)
-    return np.where(hit, model.counts[at], -1), np.where(own >= 0, own, tail)
+    symbol = np.where(hit, model.symbols[at], -1)
+    tail = np.flatnonzero(symbol < 0)
+    symbol[tail] = tails(tail)
+    return np.where(hit, model.counts[at], -1), symbol
 
 
 def _sequence(text: np.ndarray, symbol: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -172,15 +203,14 @@ class Trainer:
         self.shift = np.log(NOISE * freq).astype(np.float32)
         self.rng = np.random.default_rng(seed)
 
-    def _step(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
+    def _step(self, name: str, rows: np.ndarray, order: np.ndarray, lead: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad on the sums of the gradients of equal rows."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        lead = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total, rows, many = np.add.reduceat(grad[order], lead, axis=0), rows[lead], np.diff(np.append(lead, len(rows)))
-        self.square[name][rows] += (total * total).mean(1, keepdims=True)
-        self.p[name][rows] += RATE * total / np.sqrt(self.square[name][rows])
-        self.seen[name][rows] += many
+        total, rows = np.add.reduceat(grad.take(order, 0), lead, axis=0), rows[order[lead]]
+        square = self.square[name][rows] + np.einsum("ij,ij->i", total, total)[:, None] / np.float32(total.shape[1])
+        self.square[name][rows] = square
+        total *= RATE / np.sqrt(square)
+        self.p[name][rows] += total
+        self.seen[name][rows] += np.diff(lead, append=len(order))
 
     def learn(self, position: int, before: np.ndarray, now: np.ndarray) -> None:
         p, name = self.p, f"map{position}"
@@ -188,15 +218,28 @@ class Trainer:
         here = p["context"][before]
         query, goal, drawn = here @ p[name], p["target"][now], p["target"][noise]
         hit = np.einsum("ij,ij->i", query, goal) + p["bias"][now, 0] - self.shift[now]
-        miss = query @ drawn.T + p["bias"][noise, 0] - self.shift[noise]
         up = 1 / (1 + np.exp(np.clip(hit, -30, 30)))  # how far a true word is from being taken for one
-        down = -1 / (1 + np.exp(-np.clip(miss, -30, 30)))  # and a drawn one from being seen through
-        back = up[:, None] * goal + down @ drawn
+        back, away, still = up[:, None] * goal, -drawn.T, self.shift[noise] - p["bias"][noise, 0]
+        pull, fall = np.zeros_like(drawn), np.zeros(NOISE, np.float32)
+        for k in range(0, len(now), STRIP):
+            down = query[k : k + STRIP] @ away  # and a drawn one from being seen through
+            down += still
+            np.clip(down, -30, 30, out=down)
+            np.exp(down, out=down)
+            down += 1
+            np.divide(-1, down, out=down)
+            back[k : k + STRIP] += down @ drawn
+            pull += down.T @ query[k : k + STRIP]
+            fall += down.sum(0)
         whole = here.T @ back / np.float32(np.sqrt(len(now)))
-        self._step("target", np.concatenate([now, noise]), np.concatenate([up[:, None] * query, down.T @ query]))
-        self._step("bias", np.concatenate([now, noise]), np.concatenate([up[:, None], down.sum(0)[:, None]]))
-        self._step("context", before, back @ p[name].T)
-        self._step(name, np.arange(len(whole)), whole)
+        small = np.uint16 if len(self.freq) <= 1 << 16 else np.int64
+        both = np.concatenate([now, noise])
+        ways = _groups(both.astype(small))
+        self._step("target", both, *ways, np.concatenate([up[:, None] * query, pull]))
+        self._step("bias", both, *ways, np.concatenate([up, fall])[:, None])
+        self._step("context", before, *_groups(before.astype(small)), back @ p[name].T)
+        every = np.arange(len(whole))
+        self._step(name, every, every, every, whole)
 
 
 def normalisers(parts: dict[str, np.ndarray]) -> np.ndarray:
@@ -214,10 +257,13 @@ def normalisers(parts: dict[str, np.ndarray]) -> np.ndarray:
 def chances(m: Model, now: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
     """P(symbol) of each token by each position, and by the frequencies."""
     out = np.empty((POSITIONS + 1, len(now)))
-    goal = m.parts["target"][now]
-    for k in range(POSITIONS):
-        query = m.parts[f"query{k}"][before[k]]
-        out[k] = np.exp(np.einsum("ij,ij->i", query, goal) + m.parts["bias"][now, 0] - m.norms[k][before[k]])
+    for at in range(0, len(now), STRIP):
+        some = slice(at, at + STRIP)
+        goal, bias = m.parts["target"].take(now[some], 0), m.parts["bias"][now[some], 0]
+        for k in range(POSITIONS):
+            here = before[k][some]
+            out[k, some] = np.einsum("ij,ij->i", m.parts[f"query{k}"].take(here, 0), goal) + bias - m.norms[k][here]
+    np.exp(out[:-1], out=out[:-1])
     out[-1] = m.freq[now]
     return out
 
@@ -261,8 +307,8 @@ def _trained(model):
         trainer, turn = Trainer(m.freq, m.parts, 1000 + who), 0
         for batch in batches:
             for i, j, data, at in pieces(batch.column(0)):
-                text, word, tail = _words(data, at)
-                _, now, before = _sequence(text, _known(m, word, tail)[1], j - i)
+                text, word, tails = _words(data, at)
+                _, now, before = _sequence(text, _known(m, word, tails)[1], j - i)
                 # in random order, batch by batch for one position after the other
                 order = trainer.rng.permutation(len(now))
                 for k in range(0, len(now), BATCH):
@@ -322,8 +368,8 @@ def _compared(model):
         count = np.zeros((2 * POWERS * STEPS + 1) ** POSITIONS, np.int64)
         for batch in batches:
             for i, j, data, at in pieces(batch.column(0)):
-                text, word, tail = _words(data, at)
-                _, now, before = _sequence(text, _known(m, word, tail)[1], j - i)
+                text, word, tails = _words(data, at)
+                _, now, before = _sequence(text, _known(m, word, tails)[1], j - i)
                 cell, many = np.unique(ratio_cells(chances(m, now, before)), return_counts=True)
                 count[cell] += many
         cell = np.flatnonzero(count)
@@ -338,8 +384,8 @@ def _scored(model):
         for batch in batches:
             for i, j, data, at in pieces(batch.column(1)):
                 n = j - i
-                text, word, tail = _words(data, at)
-                count, symbol = _known(m, word, tail)
+                text, word, tails = _words(data, at)
+                count, symbol = _known(m, word, tails)
                 of, now, before = _sequence(text, symbol, n)
                 here = count >= 0
                 seen = np.log10(np.maximum(count, 0) + EXTRA)

@@ -43,7 +43,8 @@ def word_spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = _IS_SPACE)
     ends[:-1] &= ~inside[1:]
     cut = cut[cut > 0]
     ends[cut - 1] = inside[cut - 1]
-    return np.searchsorted(at, first, "right") - 1, first, np.flatnonzero(ends) + 1
+    # few texts hold many words
+    return np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(first, at))), first, np.flatnonzero(ends) + 1
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -769,3 +770,27 @@ def test_language_model_sequences_do_not_cross_texts():
     of, now, before = logbilinear._sequence(text, np.array([5, 6, 7]), 3)
     assert of.tolist() == [0, 0, 0, 1, 2, 2] and now.tolist() == [5, 6, 0, 0, 7, 0]
     assert [b.tolist() for b in before] == [[0, 5, 6, 0, 0, 7], [0, 0, 5, 0, 0, 0]]
+
+
+def test_language_model_learns_in_strips_that_a_cache_holds():
+    rng = np.random.default_rng(3)
+    freq = np.full(3000, 1 / 3000)
+    trainer = logbilinear.Trainer(freq, logbilinear.start(freq), 1)
+    before, now = rng.integers(0, 3000, (2, logbilinear.BATCH))
+    tracemalloc.start()
+    trainer.learn(0, before, now)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * logbilinear.BATCH * logbilinear.NOISE  # never two values for each pair and noise word
+    assert trainer.seen["context"].tolist() == np.bincount(before, minlength=3000).tolist()
+
+
+def test_language_model_finds_words_among_hashes_that_begin_alike():
+    rng = np.random.default_rng(4)
+    near = np.concatenate([np.arange(500) + (7 << 44), rng.integers(-(2**63), 2**63 - 1, 500), [-(2**63), 2**63 - 1]])
+    hashes = np.unique(near)
+    model = logbilinear.Model(hashes, np.arange(len(hashes)), np.full(len(hashes), -1), None, None)
+    word = np.concatenate([near, near[1:-1] + 1, rng.integers(-(2**63), 2**63 - 1, 500)])
+    count, symbol = logbilinear._known(model, word, lambda some: some + 1)
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    assert count.tolist() == [place.get(w, -1) for w in word.tolist()] and symbol.tolist() == list(range(1, len(word) + 1))
