@@ -14,11 +14,11 @@ stay.
   common), their sizes differ little (length filter), what can still follow the
   shared token must suffice (positional filter), and the parities of their tokens'
   hashes cannot differ in more bits than the sets differ in tokens (bitmap filter).
-* A class first meets two earlier classes, the first and the last before it, of
-  those with the same pair of tokens at the end of the prefix.  Whoever matches
-  is decided and asks no more, so groups of many like lines do not meet pair by
-  pair; the others meet all that the filters leave.  Similarity is verified on
-  whole sets.
+* A class first meets, of the first and the last few before it with the same pair
+  of tokens at the end of the prefix, the one whose bitmap is nearest, for each of
+  two pairs.  Whoever matches is decided and asks no more, so groups of many like
+  lines do not meet pair by pair; the others meet all that the filters leave.
+  Similarity is verified on whole sets.
 
 Defined results: null texts are empty and stay so; a text of any length is cut
 in lines and handled whole; of equal lines the first by (doc_id, number, hash of
@@ -45,6 +45,8 @@ BUCKETS = 1 << 18
 LONG_LINE = 80
 #: So many pairs of neighbours at the end of a prefix lead to earlier classes.
 HUBS = 2
+#: Besides the first of these, so many of the last ones are looked at for the nearest.
+LOOK = 4
 #: White space within lines besides the space.
 OTHER_SPACE = "\t\x0b\x0c\r"
 
@@ -91,14 +93,14 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
-def line_tokens(line: Column, rare: Column, buckets: int = BUCKETS) -> Column:
-    """The distinct words of a line, rarest first: the magnitude in the first byte, then the hash."""
+def tokens_of(hashes: Column, rare: Column, buckets: int = BUCKETS) -> Column:
+    """The distinct words with these hashes, rarest first: the magnitude in the first byte, then the hash."""
 
     def token(h: Column) -> Column:
         size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("bigint"))
         return size.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(word_hashes(line), token)))
+    return F.sort_array(F.array_distinct(F.transform(hashes, token)))
 
 
 def _parities(tokens: Column, half: bool = False) -> Column:
@@ -127,17 +129,20 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     rare = written(rarity(texts, buckets))
     # the array is a scalar that plans name and do not hold; the optimizer sets it into the tokens' expression, if that
     # names it once (else each row would hold it)
-    spelled = _lines(texts).withColumn("rare", rare.rows.select("sizes").scalar())
-    sets = spelled.select("doc", "lo", line_tokens(F.col("line"), F.col("rare"), buckets).alias("tokens")).select("doc", "lo", F.explode(F.array("tokens")).alias("tokens")).where(F.size("tokens") > 0)
+    hashed = _lines(texts).select("doc", "lo", F.explode(F.array(word_hashes(F.col("line")))).alias("hashes")).where(F.size("hashes") > 0)
+    spelled = hashed.withColumn("rare", rare.rows.select("sizes").scalar())
+    # few edits change the least and the largest hash, whatever words they bring
+    ends = F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends")
+    sets = spelled.select("doc", "lo", ends, tokens_of(F.col("hashes"), F.col("rare"), buckets).alias("tokens")).select("doc", "lo", "ends", F.explode(F.array("tokens")).alias("tokens"))
     n = F.size("tokens")
     first = F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     wide = F.when(n > LONG_LINE, _parities(F.col("tokens"), half=True)).otherwise(F.lit(0).cast("bigint"))
-    lines = sets.select("doc", "lo", F.xxhash64("tokens").alias("sid"), n.alias("n"), first.alias("prefix"), _parities(F.col("tokens")).alias("odd"), wide.alias("odd2"))
+    lines = sets.select("doc", "lo", F.xxhash64("tokens").alias("sid"), n.alias("n"), first.alias("prefix"), _parities(F.col("tokens")).alias("odd"), wide.alias("odd2"), "ends")
     # the whole prefix tells classes apart besides the hash
     equal = W.partitionBy("sid", "n", "odd", "odd2", "prefix").orderBy("doc", "lo")
     # lines of equal rows share a place and a rank; one of them stands for all
     ranked = lines.repartition("sid").withColumn("again", F.rank().over(equal) > 1).withColumn("nth", F.row_number().over(equal)).where("again or nth = 1")
-    lines = written(ranked.select("doc", "lo", "n", "odd", "odd2", F.when(~F.col("again"), F.col("prefix")).alias("prefix"), "again"))
+    lines = written(ranked.select("doc", "lo", "n", "odd", "odd2", "ends", F.when(~F.col("again"), F.col("prefix")).alias("prefix"), "again"))
     # sets of one to three words are like equal ones alone (at 75 % and above)
     least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 30
     asked = lines.rows.where(~F.col("again") & (F.col("n") >= least)).drop("again")
@@ -149,13 +154,17 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     size = lambda x: F.shiftright(F.col(f"{x}ni"), 32).cast("int")
     place = lambda x: F.col(f"{x}ni").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
-    def alike(a: str, b: str) -> Column:
+    def excess(a: str, b: str) -> Column:
+        """By how much the bitmaps differ beyond what like sets may: above 0 they are not alike."""
         na, nb = size(a), size(b)
         # the sets may differ in as many tokens as (na + nb) * (100 - percent) / (100 + percent)
         odd, odd2 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("odd", "odd2"))
         bits = F.when((na > LONG_LINE) & (nb > LONG_LINE), F.bit_count(odd.bitwiseXOR(odd2)) + F.bit_count(odd2)).otherwise(F.bit_count(odd))
-        near = bits * (100 + percent) <= (na + nb) * (100 - percent)
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & near
+        return bits * (100 + percent) - (na + nb) * (100 - percent)
+
+    def alike(a: str, b: str) -> Column:
+        na, nb = size(a), size(b)
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (excess(a, b) <= 0)
 
     def viable(a: str, b: str) -> Column:
         na, nb = size(a), size(b)
@@ -192,18 +201,19 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     decided = asked.select("doc", "lo").limit(0)
     if hubs:
         last = F.size("prefix")
-        ends = [F.xxhash64(F.get("prefix", last - 1 - k), F.get("prefix", last - 2 - k)) for k in range(min(hubs, HUBS))]
-        some = rows_of(asked, F.array(*ends))
+        keys = [F.col("ends"), F.xxhash64(F.get("prefix", last - 1), F.get("prefix", last - 2))]
+        some = rows_of(asked, F.array(*keys[:hubs]))
         one = F.struct("doc", "lo", "ni", "odd", "odd2")
         order = W.partitionBy("token").orderBy("doc", "lo")
-        earlier = F.array(F.first(one).over(order), F.lag(one, 1).over(order))
-        star = some.withColumn("hubs", earlier).select("doc", "lo", "ni", "odd", "odd2", F.explode("hubs").alias("b"))
-        star = star.select("doc", "lo", "ni", "odd", "odd2", *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("doc", "lo", "ni", "odd", "odd2")])
-        decided = verified(star.where(_later("", "b_") & alike("", "b_")).select("doc", "lo", "b_doc", "b_lo").distinct())
-    # every pair of a set and one that is not larger, whose prefix may be shorter
+        star = some.select("*", F.first(one).over(order).alias("h0"), *[F.lag(one, k).over(order).alias(f"h{k}") for k in range(1, LOOK + 1)]).where("h1 is not null")
+        fit = lambda h: F.when(_later("", h) & alike("", h), F.struct(excess("", h).alias("excess"), F.col(f"{h}doc").alias("doc"), F.col(f"{h}lo").alias("lo")))
+        star = star.select("doc", "lo", F.least(*[fit(f"h{k}.") for k in range(LOOK + 1)]).alias("b")).where("b is not null")
+        decided = verified(star.select("doc", "lo", F.col("b.doc").alias("b_doc"), F.col("b.lo").alias("b_lo")).distinct())
+    # every pair of a set and one that is not larger, of whose prefix the positional filter leaves less; both sides have
+    # the same rows, so that one exchange serves both
     known = asked.join(near(decided.withColumn("known", F.lit(1))), ["doc", "lo"], "left").fillna(0, "known")
-    short = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1)
-    left, right = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns[1:]]) for x, rows in (("a", rows_of(known, F.col("prefix"), "known")), ("b", rows_of(known, short, "known"))))
+    all_rows = rows_of(known, F.col("prefix"), "known")
+    left, right = (all_rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in all_rows.columns[1:]]) for x in "ab")
     after = _later("a_", "b_")
     rest = left.join(right, "token").where((size("a_") > size("b_")) | ((size("a_") == size("b_")) & after))
     rest = rest.where(viable("a_", "b_")).where(F.when(after, F.col("a_known")).otherwise(F.col("b_known")) == 0)

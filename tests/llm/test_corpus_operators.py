@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import tracemalloc
 import zlib
@@ -382,6 +383,32 @@ def test_line_dedup_in_few_passes(spark, monkeypatch):
         assert len(made) <= 9
 
 
+def test_line_dedup_of_many_near_copies_meets_few_pairs(spark, monkeypatch):
+    """Copies of one line with a few other words each: most are decided by few neighbours, not pair by pair."""
+    rng = random.Random(5)
+    base = [f"base{k}" for k in range(58)]
+    lines = []
+    for i in range(400):
+        words = list(base)
+        for k in rng.sample(range(58), 3):
+            words[k] = f"other{rng.randrange(3000)}"
+        lines.append(" ".join(words))
+    sets = [frozenset(x.split()) for x in lines]
+    want = {i for i, s in enumerate(sets) if any(100 * len(s & t) >= 80 * len(s | t) for t in sets[:i])}
+    pairs, write = [], linededup.written
+
+    def seen(df):
+        out = write(df)
+        if "b_doc" in df.columns:
+            pairs.append(out.rows.count())
+        return out
+
+    monkeypatch.setattr(linededup, "written", seen)
+    rows = linededup.drop_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.n_removed} == want and len(want) > 390
+    assert sum(pairs) < 10_000, pairs
+
+
 def test_line_dedup_short_lines(spark):
     texts = ["les.\nand ornd.\n\nfresh words", "Les.\n \nand  ornd.\nonce", "and\nornd.\n\nles. les.\nand ornd. les.", "les.\nand ornd.\none two three four", "ONE two three four\nonce"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
