@@ -406,7 +406,7 @@ def test_line_dedup_of_many_near_copies_meets_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(linededup, "written", seen)
     rows = linededup.drop_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in rows if r.n_removed} == want and len(want) > 390
-    assert sum(pairs) < 10_000, pairs
+    assert sum(pairs) <= 2 * len(lines), pairs
 
 
 def test_line_dedup_short_lines(spark):
