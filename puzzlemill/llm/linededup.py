@@ -14,6 +14,8 @@ stay.
   common), their sizes differ little (length filter), what can still follow the
   shared token must suffice (positional filter), and the parities of their tokens'
   hashes cannot differ in more bits than the sets differ in tokens (bitmap filter).
+  Tokens that follow the same token in both prefixes are skipped: there the two have
+  met before.
 * A class first meets, of the first and the last few before it with the same pair
   of tokens at the end of the prefix, the one whose bitmap is nearest, for each of
   two pairs.  Whoever matches is decided and asks no more, so groups of many like
@@ -30,7 +32,7 @@ ignored, or kept as they are by ``drop_repeated_lines``, whatever their names.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import ID_BYTES, MOST_BYTES, SPACE, let, number_equal, small, written
 
+#: For tables that hold hashes mostly.
+hashes_written = partial(written, plain=True)
 #: Words are counted in so many buckets.
 BUCKETS = 1 << 18
 #: Hash bits that a bitmap's second word is used beyond.
@@ -69,7 +73,7 @@ def _spaced(text: str) -> Column:
 def _lines(texts: DataFrame) -> DataFrame:
     """(doc, lo, line): ``lo`` holds the line's number and the text's key; white space within lines is spaces."""
     d = texts.select("doc", "key", F.posexplode(F.split(_spaced("text"), "\n", -1)).alias("no", "line"))
-    return d.where(F.length("line") > 0).select("doc", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key")).alias("lo"), "line")
+    return d.where("line != ''").select("doc", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseOR(F.col("key")).alias("lo"), "line")
 
 
 def word_hashes(line: Column) -> Column:
@@ -84,7 +88,8 @@ def word_set(line: Column) -> Column:
 
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with one array: for each bucket of words the magnitude of its count over all texts, in the first byte."""
-    word = _lines(texts).select(F.explode(F.split(F.lower("line"), " ")).alias("word"))
+    spaced = F.replace(_spaced("text"), F.lit("\n"), F.lit(" "))  # words end where lines do
+    word = texts.select(F.explode(F.split(F.lower(spaced), " ")).alias("word"))
     counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("c"))
     size = F.least(F.floor(F.log2("c") * 4), F.lit(127))
     every = counts.select("bucket", size.alias("size")).unionByName(texts.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("size")))
@@ -97,7 +102,7 @@ def tokens_of(hashes: Column, rare: Column, buckets: int = BUCKETS) -> Column:
     """The distinct words with these hashes, rarest first: the magnitude in the first byte, then the hash."""
 
     def token(h: Column) -> Column:
-        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("bigint"))
+        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1))), F.lit(0).cast("bigint"))
         return size.bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(hashes, token)))
@@ -142,7 +147,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     equal = W.partitionBy("sid", "n", "odd", "odd2", "prefix").orderBy("doc", "lo")
     # lines of equal rows share a place and a rank; one of them stands for all
     ranked = lines.repartition("sid").withColumn("again", F.rank().over(equal) > 1).withColumn("nth", F.row_number().over(equal)).where("again or nth = 1")
-    lines = written(ranked.select("doc", "lo", "n", "odd", "odd2", "ends", F.when(~F.col("again"), F.col("prefix")).alias("prefix"), "again"))
+    last = F.size("prefix")
+    tail = F.xxhash64(F.get("prefix", last - 1), F.get("prefix", last - 2)).alias("tail")
+    lines = hashes_written(ranked.select("doc", "lo", "n", "odd", "odd2", "ends", tail, F.when(~F.col("again"), F.col("prefix")).alias("prefix"), "again"))
     # sets of one to three words are like equal ones alone (at 75 % and above)
     least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 30
     asked = lines.rows.where(~F.col("again") & (F.col("n") >= least)).drop("again")
@@ -200,22 +207,25 @@ def repeated_lines(docs: DataFrame, percent: int = 80, buckets: int = BUCKETS, h
     near = lambda ids: F.broadcast(ids) if small(ids) else ids
     decided = asked.select("doc", "lo").limit(0)
     if hubs:
-        last = F.size("prefix")
-        keys = [F.col("ends"), F.xxhash64(F.get("prefix", last - 1), F.get("prefix", last - 2))]
-        some = rows_of(asked, F.array(*keys[:hubs]))
+        some = rows_of(asked, F.array(*["ends", "tail"][:hubs]))
         one = F.struct("doc", "lo", "ni", "odd", "odd2")
         order = W.partitionBy("token").orderBy("doc", "lo")
-        star = some.select("*", F.first(one).over(order).alias("h0"), *[F.lag(one, k).over(order).alias(f"h{k}") for k in range(1, LOOK + 1)]).where("h1 is not null")
+        star = some.select("*", F.first(one).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("h0"), *[F.lag(one, k).over(order).alias(f"h{k}") for k in range(1, LOOK + 1)]).where("h1 is not null")
         fit = lambda h: F.when(_later("", h) & alike("", h), F.struct(excess("", h).alias("excess"), F.col(f"{h}doc").alias("doc"), F.col(f"{h}lo").alias("lo")))
         star = star.select("doc", "lo", F.least(*[fit(f"h{k}.") for k in range(LOOK + 1)]).alias("b")).where("b is not null")
         decided = verified(star.select("doc", "lo", F.col("b.doc").alias("b_doc"), F.col("b.lo").alias("b_lo")).distinct())
     # every pair of a set and one that is not larger, of whose prefix the positional filter leaves less; both sides have
     # the same rows, so that one exchange serves both
     known = asked.join(near(decided.withColumn("known", F.lit(1))), ["doc", "lo"], "left").fillna(0, "known")
-    all_rows = rows_of(known, F.col("prefix"), "known")
+    spread = known.select("doc", "lo", "n", "odd", "odd2", "known", "prefix", F.posexplode("prefix").alias("i", "token"))
+    before = F.coalesce(F.get("prefix", F.col("i") - 1), F.lit(0).cast("bigint"))
+    ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i"))
+    all_rows = spread.select("token", "doc", "lo", ni.alias("ni"), "odd", "odd2", "known", before.alias("before"))
     left, right = (all_rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in all_rows.columns[1:]]) for x in "ab")
     after = _later("a_", "b_")
     rest = left.join(right, "token").where((size("a_") > size("b_")) | ((size("a_") == size("b_")) & after))
+    # those that also share the token before have met there; the first has 0 before it
+    rest = rest.where((F.col("a_before") != F.col("b_before")) | (F.col("a_before") == 0))
     rest = rest.where(viable("a_", "b_")).where(F.when(after, F.col("a_known")).otherwise(F.col("b_known")) == 0)
     turn = lambda a, b, to: [F.when(after, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{to}{c}") for c in ("doc", "lo")]
     gone = decided.unionByName(verified(rest.select(*turn("a", "b", ""), *turn("b", "a", "b_")).distinct()))

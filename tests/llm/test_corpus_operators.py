@@ -409,6 +409,28 @@ def test_line_dedup_of_many_near_copies_meets_few_pairs(spark, monkeypatch):
     assert sum(pairs) <= 2 * len(lines), pairs
 
 
+def test_line_dedup_meets_a_pair_once_a_run_of_tokens(spark, monkeypatch):
+    """Two prefixes that share several tokens in a row meet at the first of them (before: at each that the filters leave)."""
+    rng = random.Random(6)
+    base = [f"base{k}" for k in range(58)]
+    lines = [" ".join([f"other{i}-{k}" for k in range(2)] + rng.sample(base, 56)) for i in range(60)]
+    sets = [frozenset(x.split()) for x in lines]
+    want = {i for i, s in enumerate(sets) if any(100 * len(s & t) >= 80 * len(s | t) for t in sets[:i])}
+    met, pairs, write = [], [], linededup.written
+
+    def seen(df, *more, **options):
+        if "b_doc" in df.columns:
+            plan, classic = df._jdf.queryExecution().analyzed().children().head(), df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset
+            met.append(classic.ofRows(df._jdf.sparkSession(), plan).count())
+            pairs.append(df.count())
+        return write(df, *more, **options)
+
+    monkeypatch.setattr(linededup, "written", seen)
+    rows = linededup.drop_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), hubs=0).collect()
+    assert {r.doc_id for r in rows if r.n_removed} == want and len(want) > 50
+    assert pairs[0] > 1000 and met[0] <= 1.5 * pairs[0], (met, pairs)
+
+
 def test_line_dedup_short_lines(spark):
     texts = ["les.\nand ornd.\n\nfresh words", "Les.\n \nand  ornd.\nonce", "and\nornd.\n\nles. les.\nand ornd. les.", "les.\nand ornd.\none two three four", "ONE two three four\nonce"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
