@@ -45,6 +45,8 @@ from .common import ID_BYTES, MOST_BYTES, SPACE, let, number_equal, small, writt
 hashes_written = partial(written, plain=True)
 #: Words are counted in so many buckets.
 BUCKETS = 1 << 18
+#: So many of them are counted in one row; like ``buckets`` a power of two.
+BESIDE = 8
 #: Hash bits that a bitmap's second word is used beyond.
 LONG_LINE = 80
 #: So many pairs of neighbours at the end of a prefix lead to earlier classes.
@@ -87,23 +89,29 @@ def word_set(line: Column) -> Column:
 
 
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with one array: for each bucket of words the magnitude of its count over all texts, in the first byte."""
+    """One row with one array of bytes: for each bucket of words the magnitude of its count over all texts."""
     spaced = F.replace(_spaced("text"), F.lit("\n"), F.lit(" "))  # words end where lines do
-    word = texts.select(F.explode(F.split(F.lower(spaced), " ")).alias("word"))
-    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("c"))
-    size = F.least(F.floor(F.log2("c") * 4), F.lit(127))
-    every = counts.select("bucket", size.alias("size")).unionByName(texts.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("size")))
-    every = every.groupBy("bucket").agg(F.shiftleft(F.max("size"), 56).alias("size"))
+    word = texts.select(F.explode(F.split(F.lower(spaced), " ")).alias("word")).select(F.xxhash64("word").alias("h"))
+    # a row counts several buckets, so that the rows are few enough for the compiled map of an aggregation
+    rows = buckets // BESIDE
+    part = F.shiftrightunsigned("h", rows.bit_length() - 1).bitwiseAND(F.lit(BESIDE - 1))
+    counts = word.groupBy(F.col("h").bitwiseAND(F.lit(rows - 1)).alias("row")).agg(*[F.sum(F.when(part == i, 1).otherwise(0)).alias(f"c{i}") for i in range(BESIDE)])
+    size = lambda c: F.when(F.col(c) > 0, F.least(F.floor(F.log2(c) * 4), F.lit(127))).otherwise(0).cast("byte")
+    parts = [f"c{i}" for i in range(BESIDE)]
+    none = texts.sparkSession.range(rows).select(F.col("id").alias("row"), *[F.lit(0).cast("byte").alias(c) for c in parts])
+    every = counts.select("row", *[size(c).alias(c) for c in parts]).unionByName(none)
+    every = every.groupBy("row").agg(*[F.max(c).alias(c) for c in parts])
     # ``buckets`` numbers, whatever the input
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "size"))), lambda x: x["size"]).alias("sizes"))
+    every = every.agg(F.sort_array(F.collect_list(F.struct("row", *parts))).alias("rows"))
+    return every.select(F.flatten(F.array(*[F.col(f"rows.{c}") for c in parts])).alias("sizes"))
 
 
 def tokens_of(hashes: Column, rare: Column, buckets: int = BUCKETS) -> Column:
     """The distinct words with these hashes, rarest first: the magnitude in the first byte, then the hash."""
 
     def token(h: Column) -> Column:
-        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1))), F.lit(0).cast("bigint"))
-        return size.bitwiseOR(F.shiftrightunsigned(h, 8))
+        size = F.coalesce(F.get(rare, h.bitwiseAND(F.lit(buckets - 1))), F.lit(0).cast("byte"))
+        return F.shiftleft(size.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(hashes, token)))
 

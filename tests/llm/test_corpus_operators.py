@@ -431,6 +431,21 @@ def test_line_dedup_meets_a_pair_once_a_run_of_tokens(spark, monkeypatch):
     assert pairs[0] > 1000 and met[0] <= 1.5 * pairs[0], (met, pairs)
 
 
+@pytest.mark.parametrize("buckets", [16, 1 << 10])
+def test_line_dedup_counts_several_buckets_in_a_row(spark, buckets):
+    """Every word of every text counts, in rows of few bytes (before: a row a bucket, eight bytes each)."""
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    texts = ["\n".join(" ".join(words[k : k + 10]) for k in range(i, i + 100, 10)) for i in range(0, 4000, 100)]
+    rare = linededup.rarity(linededup._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), buckets)
+    found = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("xxhash64(w) as h").collect()
+    count = collections.Counter(r.h % buckets for r in found)
+    assert rare.first().sizes == [min(int(np.floor(np.log2(count[b]) * 4)), 127) if count[b] else 0 for b in range(buckets)]
+    plan = rare._jdf.queryExecution().optimizedPlan().toString()
+    assert rare.schema["sizes"].dataType.simpleString() == "array<tinyint>"
+    assert f"Range (0, {buckets // linededup.BESIDE}," in plan
+
+
 def test_line_dedup_short_lines(spark):
     texts = ["les.\nand ornd.\n\nfresh words", "Les.\n \nand  ornd.\nonce", "and\nornd.\n\nles. les.\nand ornd. les.", "les.\nand ornd.\none two three four", "ONE two three four\nonce"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
